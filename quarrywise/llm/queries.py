@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup
+from . import chat_format, decontaminate, exact_dedup, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -21,6 +26,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
 CONTROL_CASE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -30,11 +39,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chats(turns.unionByName(case)))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_exact_dedup, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_exact_dedup, op6_simhash_dedup, op9_chat_format)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op1_substring_dedup": """
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+wins AS MATERIALIZED (SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS h FROM d, unnest(range(1, greatest(1, len(w) - 48))) AS t(i)),
+firsts AS (SELECT h, min(doc_id) AS lo FROM wins GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM wins JOIN firsts USING (h) WHERE doc_id > lo) GROUP BY doc_id, p),
+words AS (SELECT doc_id, i AS p, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op3_decontamination": f"""
 WITH words AS (
     SELECT 'd' AS kind, doc_id::VARCHAR AS id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
