@@ -23,7 +23,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarrywise-scratch"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     The lineage is cut without keeping blocks on executors, so a lost executor costs nothing,
@@ -34,7 +34,7 @@ def materialize(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, sharding, simhash, substring_dedup, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, katz_lm, packing, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 CONTROL_CASE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -52,9 +60,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chats(turns.unionByName(case)))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_sharding, op3_decontamination, op4_exact_dedup, op5_url_filter, op6_simhash_dedup, op7_toxicity, op9_chat_format)
+    for f in (op1_substring_dedup, op2_sharding, op3_decontamination, op4_exact_dedup, op5_url_filter, op6_simhash_dedup, op7_toxicity, op8_packing, op9_chat_format, op10_lm_scoring)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
