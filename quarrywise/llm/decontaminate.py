@@ -87,34 +87,44 @@ def _spans(text: bytes, covered: np.ndarray) -> list[dict]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, spans.
-
-    A word inside any occurrence of an item's window is hit; contaminated: n_hit > 0 and share *
-    n_hit >= n_words. Null and empty texts have no words and are clean; null and empty items have no
-    windows. Repeated items count once. item_ids are sorted as strings; spans are character offsets
-    in the original text. Any other column of docs is left out, so that no name clashes.
-    """
-    sc = docs.sparkSession.sparkContext
+def _sent(docs: DataFrame, benchmark: DataFrame) -> list:
+    """The items, broadcast in parts of PART_BYTES at most. Null items and ids are left out."""
     parts: list[list[tuple[str, bytes]]] = [[]]
     filled = 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null and i is not null").toLocalIterator():
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null and i is not null")
+    for r in items.toLocalIterator():
         text = r.t.encode()
         if filled and filled + len(text) > PART_BYTES:
             parts.append([])
             filled = 0
         parts[-1].append((r.i, text))
         filled += len(text)
-    sent = [sc.broadcast(p) for p in parts]
+    return [docs.sparkSession.sparkContext.broadcast(p) for p in parts]
+
+
+def _found(text: bytes, scanners: list[Scanner]) -> tuple[list[bytes], list, np.ndarray | None]:
+    """A text's words, the hits among them, and which words are hit."""
+    words = words_of(text)
+    hits = [h for s in scanners for h in s.scan(words)]
+    return words, hits, _covered(hits, len(words)) if hits else None
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, spans.
+
+    A word inside any occurrence of an item's window is hit; contaminated: n_hit > 0 and share *
+    n_hit >= n_words. Null and empty texts have no words and are clean; null and empty items have no
+    windows. Repeated items count once. item_ids are sorted as strings; spans are character offsets
+    in the original text. Any other column of docs is left out, so that no name clashes.
+    """
+    sent = _sent(docs, benchmark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = [_scanner(b, width) for b in sent]
         for batch in batches:
             n_words, n_hit, ids, spans = [], [], [], []
             for text in as_bytes(batch.column(1)):
-                words = words_of(text)
-                hits = [h for s in scanners for h in s.scan(words)]
-                covered = _covered(hits, len(words)) if hits else None
+                words, hits, covered = _found(text, scanners)
                 n_words.append(len(words))
                 n_hit.append(int(covered.sum()) if hits else 0)
                 ids.append(sorted({i for h in hits for i in h[2]}))
@@ -131,6 +141,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows of docs that decontaminate finds clean, with docs' own columns, filtered where they are read."""
+    sent, at = _sent(docs, benchmark), docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanners = [_scanner(b, width) for b in sent]
+        for batch in batches:
+            keep = []
+            for text in as_bytes(batch.column(at)):
+                words, hits, covered = _found(text, scanners)
+                keep.append(not hits or share * int(covered.sum()) < len(words))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 _built: dict[int, tuple[object, Scanner]] = {}
 
 

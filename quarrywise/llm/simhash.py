@@ -212,7 +212,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose id is their component's, with docs' own columns: one document of each group stays. Of rows that repeat an id one stays."""
+    """The rows of docs whose id is their component's, with docs' own columns: one document of each group stays. Of rows that repeat an id one stays; rows without an id can't stand for a group and stay."""
     rows = simhash_dedup(docs, id_col, text_col, shingle)
     kept = rows.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("__kept")).drop("__kept").dropDuplicates([id_col])
+    own = F.col(f"`{id_col}`")
+    return docs.join(kept, own == F.col("__kept")).drop("__kept").dropDuplicates([id_col]).unionByName(docs.where(own.isNull()))

@@ -23,7 +23,7 @@ from .common import LOWER, as_bytes, materialize, whole_text
 SAMPLE_ROWS = 20_000
 #: At most so many terms have weights: those in most rows of the sample, and in MIN_ROWS at least.
 TERMS, MIN_ROWS = 1 << 16, 8
-FACTORS, EPOCHS, BATCH, RATE, L1, L2, SEED = 4, 8, 256, 0.1, 2e-5, 1e-4, 7
+FACTORS, EPOCHS, BATCH, RATE, L1, L2, SEED = 4, 12, 256, 0.1, 3e-4, 1e-4, 7
 #: Score from which a row is predicted toxic.
 THRESHOLD = 0.3
 #: Labels are learned from rows whose crc32(id) modulo FOLDS isn't HELD.
