@@ -1,17 +1,510 @@
-"""The queries of the library over the given tables, and their SQL."""
+"""The queries of the library over the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "corpus_stats"
+from .functions import isbn, markdown, reading, strings
+from .functions.strings import text
+from .operators import chunks, cleaning, exports, extract, library, search
+from .plans import answers
 
+FLAGSHIP = "answer_passages"
 
-def corpus_stats(spark, sf_dir):
-    """Documents, characters and longest text by language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.max(F.length("text")).cast("long").alias("longest"))
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
 
 
-QUERIES = {"corpus_stats": corpus_stats}
-ORACLE = {"corpus_stats": "SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars, max(length(text))::BIGINT AS longest FROM documents GROUP BY lang"}
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Documents stand for book bodies, parts for catalogue records.
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    name = F.col("doc_id").cast("string")
+    return d.select(F.col("doc_id").alias("book_id"), F.concat(F.lit("Document "), name).alias("title"), F.col("lang").alias("author"), F.concat("source", F.lit("/"), name).alias("source_path"), "text")
+
+
+DOCUMENTS = "(SELECT doc_id AS book_id, 'Document ' || doc_id AS title, lang AS author, source || '/' || doc_id AS source_path, text FROM documents)"
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, used = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    return p.join(used, "p_partkey", "left").select(
+        F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_brand")).alias("author"),
+        F.when(F.col("p_partkey") % 13 == 0, "999").otherwise(F.col("p_type")).alias("primary_class"), F.split("p_name", " ").alias("topics"),
+        F.when(F.col("p_partkey") % 3 == 0, F.array(F.lpad(F.col("p_partkey").cast("string"), 10, "0"))).otherwise(F.array().cast("array<string>")).alias("isbns"),
+        F.col("n").isNotNull().alias("indexed"), (F.col("p_partkey") % 7 == 0).alias("changed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_chunks"),
+        F.when(F.col("p_size") < 15, "beginner").when(F.col("p_size") < 35, "intermediate").when(F.col("p_size") < 45, "advanced").alias("difficulty"),
+        F.col("p_size").cast("long").alias("pages"), (F.col("p_size") / 4).alias("hours"),
+    )
+
+
+BOOKS = """(
+SELECT p_partkey AS book_id, p_name AS title, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS author, CASE WHEN p_partkey % 13 = 0 THEN '999' ELSE p_type END AS primary_class,
+       string_split(p_name, ' ') AS topics, CASE WHEN p_partkey % 3 = 0 THEN [lpad(p_partkey::VARCHAR, 10, '0')] ELSE []::VARCHAR[] END AS isbns, n IS NOT NULL AS indexed,
+       p_partkey % 7 = 0 AS changed, coalesce(n, 0) AS n_chunks, CASE WHEN p_size < 15 THEN 'beginner' WHEN p_size < 35 THEN 'intermediate' WHEN p_size < 45 THEN 'advanced' END AS difficulty,
+       p_size::BIGINT AS pages, p_size / 4.0::DOUBLE AS hours
+FROM part LEFT JOIN (SELECT l_partkey AS p_partkey, count(*) AS n FROM lineitem GROUP BY 1) USING (p_partkey))"""
+
+
+# --- strings, hashes, ISBNs
+
+_SLUG = "coalesce(nullif(trim(regexp_replace(lower(trim({})), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'untitled')"
+_NORMAL = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_TITLE = "trim(regexp_replace(regexp_replace(" + _NORMAL + ", '\\b(the|a|an|second|third|fourth|fifth|revised|updated|edition|ed)\\b', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""
+SELECT p_partkey AS book_id, {_SLUG.format("t")} AS slug, {_SLUG.format("regexp_replace(lower(t), '^the +', '')")} AS slug_no_the, replace(replace(lower(t), ' ', '_'), '-', '_') AS alias,
+       {_NORMAL.format("t")} AS normal, {_TITLE.format("t")} AS normal_title, {_TITLE.format("t")} || '|' || {_NORMAL.format("p_brand")} AS title_author_key,
+       (p_size::INT) AS edition_number,
+       p_size || CASE WHEN p_size % 100 BETWEEN 10 AND 20 THEN 'th' WHEN p_size % 10 = 1 THEN 'st' WHEN p_size % 10 = 2 THEN 'nd' WHEN p_size % 10 = 3 THEN 'rd' ELSE 'th' END || ' Edition' AS edition_label,
+       'The ' || p_name AS canonical_title, p_name || '|' || p_type AS piped
+FROM (SELECT *, 'The ' || p_name || ', ' || p_size || 'th Edition' AS t FROM part)""")
+def string_functions(spark, sf_dir):
+    """Normalisers, slugs and editions of titles."""
+    t, key = F.concat(F.lit("The "), "p_name", F.lit(", "), "p_size", F.lit("th Edition")), F.col("p_brand")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("book_id"), strings.slug(t).alias("slug"), strings.slug_without_the(t).alias("slug_no_the"), strings.alias(t).alias("alias"), strings.normal(t).alias("normal"),
+        strings.normal_title(t).alias("normal_title"), strings.title_author_key(t, key).alias("title_author_key"), strings.edition_number(t).alias("edition_number"),
+        strings.edition_label(t).alias("edition_label"), strings.canonical_title(t).alias("canonical_title"), strings.pipe_list(F.array("p_name", F.lit(" "), "p_type")).alias("piped"),
+    )
+
+
+@query("""
+SELECT doc_id AS book_id, sha256(coalesce(text, '')) AS content_hash,
+       sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n|\\r', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS body_hash,
+       sha256(CASE WHEN length(x) <= 12000 THEN x ELSE substr(x, 1, 4000) || ' ' || substr(x, length(x) // 2 + 1, 4000) || ' ' || right(x, 4000) END) AS fingerprint_hash
+FROM (SELECT *, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS x FROM documents)""")
+def content_hashes(spark, sf_dir):
+    """Hashes of texts as they are, without regard to blanks, and of fingerprints."""
+    t = F.col("text")
+    return documents(spark, sf_dir).select("book_id", F.sha2(text(t), 256).alias("content_hash"), library.body_hash(t).alias("body_hash"), F.sha2(library.fingerprint(t), 256).alias("fingerprint_hash"))
+
+
+@query("""
+SELECT o_orderkey, x10, s10 % 11 = 0 AS valid10, x13, s13 % 10 = 0 AS valid13, CASE WHEN s10 % 11 = 0 THEN x10 END AS normal10
+FROM (SELECT *, list_sum(list_transform(range(1, 11), lambda i: i * substr(x10, i, 1)::INT)) AS s10,
+             list_sum(list_transform(range(1, 14), lambda i: (CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END) * substr(x13, i, 1)::INT)) AS s13
+      FROM (SELECT o_orderkey, lpad((o_orderkey * 7919)::VARCHAR, 10, '0') AS x10, '978' || lpad((o_orderkey * 7919)::VARCHAR, 10, '0') AS x13 FROM orders))""")
+def isbn_checks(spark, sf_dir):
+    """Checksums of numbers made from order keys."""
+    digits = F.lpad((F.col("o_orderkey") * 7919).cast("string"), 10, "0")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", digits.alias("x10"), F.concat(F.lit("978"), digits).alias("x13"))
+    return rows.withColumns({"valid10": isbn.valid10(F.col("x10")), "valid13": isbn.valid13(F.col("x13")), "normal10": isbn.normal_isbn(F.concat(F.lit("ISBN-10: "), "x10"))})
+
+
+# --- cleaning and structure
+
+_COUNTS = {n: p.replace("(?dm)", "(?m)") for n, (p, _, _) in markdown.ARTEFACTS.items()}
+
+
+@query("SELECT page_id, " + ", ".join("len(regexp_extract_all(coalesce(html, ''), '{}'))::BIGINT AS {}".format(p, n) for n, p in _COUNTS.items()) + " FROM pages")
+def conversion_artefacts(spark, sf_dir):
+    """What a conversion left behind, counted in pages."""
+    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in markdown.artefact_counts(F.col("html")).items()])
+
+
+@query("""
+WITH p AS (
+    SELECT doc_id, list_filter(list_transform(regexp_split_to_array(array_to_string(list_transform(regexp_split_to_array(replace(coalesce(text, ''), chr(1), ''), '\\r\\n|\\r|\\n'),
+        lambda s: CASE WHEN regexp_matches(s, '^\\s*($|[#\\-*>|])') THEN chr(1) ELSE s || chr(10) END), ''), chr(1) || '+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS ps FROM documents),
+n AS (SELECT doc_id, len(ps)::BIGINT AS n_paragraphs, coalesce(len(list_filter(ps, lambda s: length(s) > 2500)), 0)::BIGINT AS very_long, coalesce(len(list_filter(ps, lambda s: length(s) < 20)), 0)::BIGINT AS very_short,
+             coalesce(round_even(list_sum(list_transform(ps, lambda s: length(s))) / nullif(len(ps), 0), 0), 0)::BIGINT AS mean_length FROM p)
+SELECT *, CASE WHEN n_paragraphs > 0 AND (mean_length > 3000 OR very_long > 5) THEN 'FAIL' WHEN n_paragraphs = 0 OR mean_length > 1500 OR very_long > 0 THEN 'WARN' ELSE 'OK' END AS status FROM n""")
+def paragraph_report(spark, sf_dir):
+    """Paragraphs of documents and how their lengths are to be judged."""
+    rows = documents(spark, sf_dir).select(F.col("book_id").alias("doc_id"), F.transform(markdown.paragraphs(F.col("text")), lambda s: F.length(s)).alias("l"))
+    n = F.size("l")
+    count = lambda f: F.size(F.filter("l", f)).cast("long")
+    mean = F.coalesce(F.bround(F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x) / F.nullif(n, F.lit(0))), F.lit(0)).cast("long")
+    rows = rows.select("doc_id", n.cast("long").alias("n_paragraphs"), count(lambda x: x > 2500).alias("very_long"), count(lambda x: x < 20).alias("very_short"), mean.alias("mean_length"))
+    bad = (F.col("n_paragraphs") > 0) & ((F.col("mean_length") > 3000) | (F.col("very_long") > 5))
+    return rows.withColumn("status", F.when(bad, "FAIL").when((F.col("n_paragraphs") == 0) | (F.col("mean_length") > 1500) | (F.col("very_long") > 0), "WARN").otherwise("OK"))
+
+
+@query()
+def page_sections(spark, sf_dir):
+    """Pages as Markdown, cut at their headings."""
+    pages = cleaning.html_to_markdown(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "text").drop("html")
+    rows = chunks.with_sections(pages, "text", "s").select("page_id", F.posexplode("s").alias("place", "s"))
+    return rows.select("page_id", "place", "s.heading_path", "s.chapter_title", "s.section_id", "s.start_line", "s.end_line", F.sha2("s.text", 256).alias("text_sha256"))
+
+
+@query()
+def page_cleaning(spark, sf_dir):
+    """Pages as Markdown, cleaned, with the status of what is left."""
+    pages = cleaning.html_to_markdown(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "raw").drop("html")
+    rows = cleaning.clean_markdown(pages, "raw", "clean")
+    left = markdown.artefact_counts(F.col("clean"))
+    status = markdown.worst([markdown.count_status(c, *markdown.ARTEFACTS[n][1:]) for n, c in left.items()])
+    return rows.select("page_id", F.length("raw").alias("raw_chars"), F.length("clean").alias("clean_chars"), status.alias("status"))
+
+
+_LINE = "(length(left({0}, {1})) - length(replace(left({0}, {1}), chr(10), '')) + 1)"
+CHUNKS = f"""(
+WITH d AS (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t, length(regexp_extract(coalesce(text, ''), '^\\s*')) AS lead FROM {DOCUMENTS}),
+w AS (SELECT *, greatest(1, ceil((length(t) - 500) / 3000.0))::INT AS n FROM d WHERE t <> ''),
+r AS (SELECT *, substr(t, i * 3000 + 1, 3500) AS raw FROM (SELECT *, unnest(range(n)) AS i FROM w)),
+p AS (SELECT *, CASE WHEN n = 1 THEN raw ELSE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') END AS piece, i * 3000 + CASE WHEN n = 1 THEN 0 ELSE length(regexp_extract(raw, '^\\s*')) END AS a FROM r),
+q AS (SELECT *, row_number() OVER b - 1 AS k, count(*) OVER (PARTITION BY book_id) AS total, {_LINE.format("coalesce(text, '')", "lead")} - 1 AS above FROM p WHERE piece <> '' WINDOW b AS (PARTITION BY book_id ORDER BY i))
+SELECT book_id, k AS chunk_index, book_id || '_' || lpad(k::VARCHAR, 6, '0') AS chunk_id, CASE WHEN k > 0 THEN book_id || '_' || lpad((k - 1)::VARCHAR, 6, '0') END AS previous_chunk_id,
+       CASE WHEN k + 1 < total THEN book_id || '_' || lpad((k + 1)::VARCHAR, 6, '0') END AS next_chunk_id,
+       above + {_LINE.format("t", "a")} AS start_line, above + {_LINE.format("t", "a + length(piece)")} AS end_line, piece AS text, sha256(piece) AS content_hash,
+       title || ' — ' || author || ' — lines ' || (above + {_LINE.format("t", "a")}) || '-' || (above + {_LINE.format("t", "a + length(piece)")}) || ' — ' || source_path AS citation
+FROM q)"""
+
+
+@query(f"SELECT book_id, chunk_index, chunk_id, previous_chunk_id, next_chunk_id, start_line, end_line, content_hash, citation FROM {CHUNKS}")
+def document_chunks(spark, sf_dir):
+    """Overlapping chunks of documents, with links, lines and citations."""
+    rows = chunks.chunk_documents(documents(spark, sf_dir))
+    return rows.select("book_id", "chunk_index", "chunk_id", "previous_chunk_id", "next_chunk_id", "start_line", "end_line", "content_hash", "citation")
+
+
+@query("""
+SELECT conv_id, turn, list_aggregate(list_filter([b2, b1, text, a1], lambda x: x IS NOT NULL), 'string_agg', ' / ') AS context FROM (
+    SELECT *, lag(text, 2) OVER w AS b2, lag(text) OVER w AS b1, lead(text) OVER w AS a1 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")
+def turns_around(spark, sf_dir):
+    """Each turn with the two before and the one after it."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chunk_index"), "text")
+    near = chunks.around(c, c, 2, 1).groupBy("book_id", "hit_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("a"))
+    return near.select(F.col("book_id").alias("conv_id"), F.col("hit_index").alias("turn"), F.array_join(F.transform("a", lambda x: x["text"]), " / ").alias("context"))
+
+
+# --- extraction
+
+_PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g'), '\\[([^\\]]+)\\]\\([^\\)]*\\)', '', 'g'), '[*_>#]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_SENTENCES = f"(SELECT doc_id AS book_id, unnest(list_filter(string_split(regexp_replace({_PLAIN}, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda s: len(string_split(s, ' ')) >= 8)) AS s, generate_subscripts(list_filter(string_split(regexp_replace({_PLAIN}, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda s: len(string_split(s, ' ')) >= 8), 1) AS i FROM documents)"
+
+
+def _any(x: str, terms: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{t}')" for t in terms) + ")"
+
+
+def _sum(x: str, terms: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains({x}, '{t}')::INT" for t in terms) + ")"
+
+
+_STANCE = f"CASE WHEN {_any('lower(s)', extract.QUALIFY)} THEN 'qualifies' WHEN {_any('lower(s)', extract.CHALLENGE)} THEN 'challenges' WHEN {_any('lower(s)', extract.SUPPORT)} THEN 'supports' ELSE 'neutral' END"
+
+
+@query(f"SELECT book_id, {_STANCE} AS stance, count(*) AS n FROM {_SENTENCES} GROUP BY ALL")
+def sentence_stances(spark, sf_dir):
+    """Sentences of each document by stance."""
+    rows = documents(spark, sf_dir).select("book_id", F.explode(extract.sentences(F.col("text"))).alias("s"))
+    return rows.groupBy("book_id", extract.stance(F.col("s")).alias("stance")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT book_id, (k - 1)::INT AS claim_index, s AS claim, {_STANCE} AS stance, CASE WHEN {_STANCE} = 'neutral' THEN 'low' ELSE 'medium' END AS confidence,
+       array_to_string(list_filter([{", ".join(f"CASE WHEN {_any('lower(s)', t)} THEN '{n}' END" for n, t in extract.TAG_TERMS.items())}], lambda x: x IS NOT NULL)[:8], ',') AS tags
+FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY i) AS k FROM (
+    SELECT *, row_number() OVER (PARTITION BY book_id, lower(s) ORDER BY i) AS copy FROM {_SENTENCES} WHERE len(string_split(s, ' ')) BETWEEN 10 AND 45 AND {_any('lower(s)', extract.MARKERS)}) WHERE copy = 1)
+WHERE k <= 40""")
+def document_claims(spark, sf_dir):
+    """The first claims of each document."""
+    return extract.claims(documents(spark, sf_dir).select("book_id", "text")).withColumn("tags", F.array_join("tags", ","))
+
+
+_WORD = "[\\p{L}\\p{N}_]+(?:[''’\\-][\\p{L}\\p{N}_]+)?"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id AS book_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+u AS (SELECT book_id, unnest(ps) AS raw, generate_subscripts(ps, 1) - 1 AS place FROM p),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '(?m)^#{{1,6}}\\s+', '', 'g'), '\\[[^\\]]+\\]\\([^\\)]*\\)', '', 'g'), '[*_`>#]+', '', 'g') AS plain FROM u),
+n AS (SELECT *, len(regexp_extract_all(plain, '{_WORD}'))::BIGINT AS n_words, {_sum('lower(plain)', extract.PASSAGE_TERMS)} + regexp_matches(plain, '[:;]')::INT AS score FROM c)
+SELECT book_id, place::INT AS place, n_words, score::INT AS score, trim(left(trim(regexp_replace(plain, '\\s+', ' ', 'g')), 900)) AS quote, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, place)::INT AS rank
+FROM n WHERE n_words BETWEEN 25 AND 180 QUALIFY rank <= 20""")
+def document_passages(spark, sf_dir):
+    """The best passages of each document."""
+    return extract.passages(documents(spark, sf_dir).select("book_id", "text"))
+
+
+@query(f"""
+SELECT * FROM (SELECT book_id, word, count(*) AS n, row_number() OVER (PARTITION BY book_id ORDER BY count(*) DESC, word)::INT AS rank FROM (
+    SELECT doc_id AS book_id, trim(unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z\\-'']{{3,}}')), '-'' ') AS word FROM documents)
+    WHERE length(word) >= 4 AND word NOT IN ({", ".join(f"'{w}'" for w in extract.STOP_WORDS)}) GROUP BY book_id, word) WHERE rank <= 18""")
+def document_keywords(spark, sf_dir):
+    """The most frequent words of each document."""
+    return extract.keywords(documents(spark, sf_dir).select("book_id", "text"))
+
+
+@query()
+def document_concepts(spark, sf_dir):
+    """Concepts of each document, from its chunks."""
+    return extract.concepts(chunks.chunk_documents(documents(spark, sf_dir)))
+
+
+_READING = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g'), '!\\[[^\\]]*\\]\\([^\\)]*\\)', ' ', 'g'), '\\[([^\\]]+)\\]\\([^\\)]*\\)', ' ', 'g'), '(?m)^#{1,6}\\s+', '', 'g'), '[*_>#\\-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id AS book_id, {_READING} AS plain, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{{1,6}}\\s+'))::BIGINT AS n_headings FROM documents)
+SELECT book_id, n_words, n_headings, CASE WHEN n_words > 0 THEN greatest(1, round_even(n_words / 275, 0)) ELSE 0 END::BIGINT AS pages,
+       CASE WHEN n_headings > 80 OR n_headings / greatest(n_words / 10000, 1) > 14 THEN 'skim_then_search' ELSE 'cover_to_cover' END AS best_read_as
+FROM (SELECT *, len(regexp_extract_all(plain, '{_WORD}'))::BIGINT AS n_words FROM p)""")
+def reading_metadata(spark, sf_dir):
+    """Words, pages and how to read each document."""
+    rows = documents(spark, sf_dir).select("book_id", reading.reading_metadata(F.col("text"), F.col("title")).alias("m"))
+    return rows.select("book_id", "m.n_words", "m.n_headings", "m.pages", "m.best_read_as")
+
+
+TOPIC = "goals and systems"
+
+
+@query(f"""
+WITH c AS (SELECT book_id, {_NORMAL.format("text")} AS low FROM {CHUNKS}),
+n AS (SELECT book_id, {_sum("low", ("goals", "and", "systems"))} AS hits, {_sum("low", extract.FAVOUR)} AS fav, {_sum("low", extract.CRITIQUE)} + {_any("low", ("rather than", "instead of", "versus"))}::INT AS crit FROM c),
+s AS (SELECT *, CASE WHEN fav > crit + 1 THEN 'favouring' WHEN crit > fav + 1 THEN 'criticising' WHEN fav > 0 AND crit > 0 THEN 'mixed' ELSE 'neutral' END AS stance FROM n),
+g AS (SELECT book_id, stance, sum(greatest(1, hits + CASE stance WHEN 'favouring' THEN fav WHEN 'criticising' THEN crit WHEN 'mixed' THEN fav + crit ELSE 0 END) + 1)::BIGINT AS score, count(*) AS n_texts FROM s GROUP BY ALL)
+SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY score DESC, stance) = 1""")
+def topic_comparison(spark, sf_dir):
+    """Where each document stands on a topic."""
+    return extract.compare_topic(TOPIC, chunks.chunk_documents(documents(spark, sf_dir)).select("book_id", "text", F.lit(1).alias("bonus")))
+
+
+# --- search
+
+
+def keyword_sql(rows: str, id_col: str, queries: str, limit: int) -> str:
+    return f"""
+WITH t AS (SELECT {id_col} AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM {rows}),
+q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM {queries}),
+size AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, size GROUP BY term, n),
+hits AS (SELECT query_id, id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score FROM tf JOIN idf USING (term) JOIN q USING (term), size GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM hits QUALIFY rank <= {limit}"""
+
+
+ASKED = "(SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0)"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(keyword_sql("documents", "doc_id", ASKED, 10))
+def keyword_search(spark, sf_dir):
+    """BM25 over documents."""
+    return search.keyword_search(table(spark, sf_dir, "documents"), asked(spark, sf_dir), "doc_id", "text")
+
+
+VECTORS = """
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM (
+    SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0)
+QUALIFY rank <= 10"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return search.vector_search(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), "vec_id", "embedding")
+
+
+@query(VECTORS)
+def vector_search(spark, sf_dir):
+    """Dot products of each twentieth vector with all."""
+    return _vectors(spark, sf_dir)
+
+
+FUSED = f"""
+SELECT * FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 6) DESC, id)::INT AS rank
+FROM (SELECT query_id, id, rank FROM ({keyword_sql("documents", "doc_id", ASKED, 10)}) UNION ALL SELECT query_id, id, rank FROM ({VECTORS})) GROUP BY query_id, id) WHERE rank <= 10"""
+
+
+@query(FUSED)
+def hybrid_search(spark, sf_dir):
+    """Keyword and vector results of a query id, fused by rank."""
+    return search.fused(keyword_search(spark, sf_dir), _vectors(spark, sf_dir))
+
+
+@query(f"""
+WITH s AS (SELECT query_id, id, 0 AS stage, rank AS stage_rank FROM ({VECTORS}) WHERE rank <= 3 UNION ALL SELECT query_id, id, 1, rank FROM ({keyword_sql("documents", "doc_id", ASKED, 10)})),
+f AS (SELECT query_id, id, stage, stage_rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY stage, stage_rank) = 1)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, stage_rank, id)::INT AS rank FROM f QUALIFY rank <= 6""")
+def staged_search(spark, sf_dir):
+    """The first stage's results, filled up from the next."""
+    return search.staged([_vectors(spark, sf_dir).where("rank <= 3"), keyword_search(spark, sf_dir)], 6)
+
+
+@query(f"""
+WITH f AS (SELECT query_id, e.label AS item, rank FROM ({VECTORS}) v JOIN embeddings e ON e.vec_id = v.id WHERE v.id <> query_id),
+w AS (SELECT vec_id AS query_id, label AS item FROM embeddings WHERE vec_id % 20 = 0)
+SELECT w.query_id, round(coalesce(max((f.rank <= 5)::INT), 0)::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / min(f.rank), 0), 6) AS reciprocal_rank FROM w LEFT JOIN f USING (query_id, item) GROUP BY w.query_id""")
+def search_evaluation(spark, sf_dir):
+    """Whether neighbours of a vector have its label."""
+    e = table(spark, sf_dir, "embeddings")
+    found = _vectors(spark, sf_dir).where("id <> query_id").join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("item")), "id")
+    return search.evaluated(found, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("item")), 5)
+
+
+@query(f"""
+WITH c AS MATERIALIZED (SELECT * FROM {CHUNKS}), h AS MATERIALIZED ({keyword_sql("c", "chunk_id", ASKED, 6)})
+SELECT query_id, rank, score, chunk_id, citation, CASE WHEN length(text) > 700 THEN regexp_replace(left(text, 700), '\\s+$', '') || '...' ELSE text END AS excerpt,
+       array_to_string(list_filter([previous_chunk_id, chunk_id, next_chunk_id], lambda x: x IS NOT NULL), ',') AS context_ids
+FROM h JOIN c ON c.chunk_id = h.id""")
+def answer_passages(spark, sf_dir):
+    """The flagship: documents in chunks, the best for each benchmark item, with excerpts, citations and context."""
+    return answers.answer_passages(chunks.chunk_documents(documents(spark, sf_dir)), asked(spark, sf_dir))
+
+
+# --- books
+
+_BODY_HASH = "sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n|\\r', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'))"
+
+
+@query(f"""
+SELECT reason, key, count(*) AS n_books, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (
+    SELECT 'content' AS reason, {_BODY_HASH} AS key, doc_id FROM documents UNION ALL SELECT 'title_author', {_NORMAL.format("source")} || '|' || {_NORMAL.format("lang")}, doc_id FROM documents)
+GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_groups(spark, sf_dir):
+    """Documents that share a body, or a source and language."""
+    d = table(spark, sf_dir, "documents")
+    return library.duplicate_groups(d.select(F.col("doc_id").alias("book_id"), F.col("source").alias("title"), F.col("lang").alias("author"), F.array().cast("array<string>").alias("isbns"), "text"))
+
+
+@query(f"""
+SELECT count(*) AS books, count_if(indexed)::BIGINT AS indexed_books, count_if(NOT indexed OR changed)::BIGINT AS books_needing_index, sum(n_chunks)::BIGINT AS indexed_chunks,
+       count_if(primary_class = '999')::BIGINT AS unclassified_books, count_if(author IS NULL)::BIGINT AS books_without_author, count_if(len(topics) = 0)::BIGINT AS books_without_topics,
+       count_if(len(isbns) > 0)::BIGINT AS books_with_isbn, count_if(difficulty IS NOT NULL OR pages > 0)::BIGINT AS books_with_reading_metadata, sum(pages)::BIGINT AS estimated_pages, round(sum(hours), 1) AS estimated_reading_hours
+FROM {BOOKS}""")
+def collection_totals(spark, sf_dir):
+    """Counts over all books."""
+    return library.totals(books(spark, sf_dir))
+
+
+@query(f"SELECT primary_class, count(*) AS books, sum(n_chunks)::BIGINT AS chunks, count(DISTINCT author) AS authors FROM {BOOKS} GROUP BY ALL")
+def class_counts(spark, sf_dir):
+    return library.class_counts(books(spark, sf_dir))
+
+
+@query(f"SELECT coalesce(author, 'Unknown author') AS author, count(*) AS books, sum(n_chunks)::BIGINT AS chunks, string_agg(DISTINCT primary_class, ', ' ORDER BY primary_class) AS classes FROM {BOOKS} GROUP BY ALL")
+def author_counts(spark, sf_dir):
+    return library.author_counts(books(spark, sf_dir))
+
+
+@query(f"SELECT topic, count(*) AS books, sum(n_chunks)::BIGINT AS chunks, string_agg(DISTINCT primary_class, ', ' ORDER BY primary_class) AS classes FROM (SELECT lower(unnest(topics)) AS topic, n_chunks, primary_class FROM {BOOKS}) GROUP BY ALL")
+def topic_counts(spark, sf_dir):
+    return library.topic_counts(books(spark, sf_dir))
+
+
+@query(f"""
+SELECT coalesce(difficulty, 'unknown') AS difficulty, count(*) AS books, sum(pages)::BIGINT AS pages, round(sum(hours), 1) AS hours,
+       CASE coalesce(difficulty, 'unknown') WHEN 'beginner' THEN 0 WHEN 'intermediate' THEN 1 WHEN 'advanced' THEN 2 ELSE 3 END AS position FROM {BOOKS} GROUP BY ALL""")
+def difficulty_counts(spark, sf_dir):
+    return library.level_counts(books(spark, sf_dir), "difficulty", ("beginner", "intermediate", "advanced", "unknown"))
+
+
+@query(f"""
+WITH b AS (SELECT * FROM {BOOKS}),
+t AS (SELECT book_id, 'author' AS kind, {_NORMAL.format("author")} AS trait FROM b UNION ALL SELECT book_id, 'class', primary_class FROM b
+      UNION ALL SELECT book_id, 'work', {_SLUG.format("coalesce(author, '')")} || '__' || {_SLUG.format("title")} FROM b UNION ALL SELECT DISTINCT book_id, 'topic', {_NORMAL.format("x")} FROM (SELECT book_id, unnest(topics) AS x FROM b)),
+p AS (SELECT s.book_id, o.book_id AS other_id, count_if(kind = 'work') AS w, count_if(kind = 'author') AS a, count_if(kind = 'class') AS c, count_if(kind = 'topic') AS n
+      FROM t s JOIN t o USING (kind, trait) WHERE s.book_id % 20 = 0 AND s.book_id <> o.book_id AND trait <> '' GROUP BY ALL),
+r AS (SELECT book_id, other_id, round(least(1.0::DOUBLE, least(0.95::DOUBLE, 0.95::DOUBLE * w) + least(0.35::DOUBLE, 0.35::DOUBLE * a) + least(0.25::DOUBLE, 0.25::DOUBLE * c) + least(0.5::DOUBLE, 0.12::DOUBLE * n)), 3) AS score FROM p)
+SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, other_id)::INT AS rank FROM r WHERE score >= 0.2 QUALIFY rank <= 10""")
+def related_books(spark, sf_dir):
+    """For each twentieth book those it has most in common with."""
+    b = books(spark, sf_dir)
+    return library.related(b, b.where("book_id % 20 = 0"))
+
+
+@query()
+def graph_records(spark, sf_dir):
+    """Edges to related books as GraphML, Mermaid and Cytoscape records."""
+    return related_books(spark, sf_dir).select("book_id", "other_id", exports.graphml_edges().alias("graphml"), exports.mermaid_edges().alias("mermaid"), exports.cytoscape_edges().alias("cytoscape"))
+
+
+#: Routing names over the words of part names.
+NAMES = (("red", "red widget goods"), ("small_ring", "small ring goods"), ("bolt", "large steel bolt"), ("blue_gear", "blue gear"), ("widget", "widget"), ("green", "green plate"))
+
+
+@query(f"""
+WITH n AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in NAMES)}) v(alias, label)),
+p AS (SELECT p_partkey AS query_id, alias, round(CASE WHEN contains(' ' || lower(p_name) || ' ', ' ' || replace(alias, '_', ' ') || ' ') THEN 4.0::DOUBLE ELSE 0 END
+      + least(2.5::DOUBLE, 0.6::DOUBLE * len(list_intersect(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9][a-z0-9''\\-]{{2,}}')), list_distinct(regexp_extract_all(label, '[a-z0-9][a-z0-9''\\-]{{2,}}'))))), 2) AS score FROM part, n),
+b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM p WHERE score > 0)
+SELECT query_id, alias, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, alias)::INT AS rank, round(least(0.98::DOUBLE, 0.35::DOUBLE + best / 12), 2) AS confidence
+FROM b WHERE score >= greatest(2.5, 0.55::DOUBLE * best) QUALIFY rank <= 3""")
+def query_routes(spark, sf_dir):
+    """The names that each part's name points at."""
+    return library.route(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text")), spark.createDataFrame(NAMES, "alias string, label string"))
+
+
+@query(f"""
+SELECT book_id, '@book{{' || coalesce(author_key, 'book') || split_part(title, ' ', 1) || ',' || chr(10) || '  title = {{' || title || '}},' || coalesce(chr(10) || '  author = {{' || author || '}},', '') || chr(10) || '  note = {{Record ' || book_id || '}}' || chr(10) || '}}' AS bibtex,
+       'TY  - BOOK' || chr(10) || 'TI  - ' || title || coalesce(chr(10) || 'AU  - ' || author, '') || chr(10) || 'N1  - Record ' || book_id || chr(10) || 'ER  -' AS ris, coalesce(author, 'Unknown author') AS apa
+FROM (SELECT *, replace(author, '#', '') AS author_key FROM {BOOKS})""")
+def reference_records(spark, sf_dir):
+    """Books as BibTeX and RIS records."""
+    b = books(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("year", "publisher", "isbn")})
+    return b.select("book_id", exports.bibtex().alias("bibtex"), exports.ris().alias("ris"), strings.author_apa(F.col("author")).alias("apa"))
+
+
+@query()
+def chunk_records(spark, sf_dir):
+    """Chunks as documents of an index."""
+    return exports.index_documents(chunks.chunk_documents(documents(spark, sf_dir)))
+
+
+# --- states and logs
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = o.where("o_orderkey % 5 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")))
+    return o.where("o_orderkey % 3 <> 0"), new
+
+
+_OLD = "(SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0)"
+_NEW = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 5 <> 0)"
+
+
+@query(f"""
+SELECT o_orderkey, CASE WHEN o.o_orderstatus IS NULL THEN 'new' WHEN n.o_orderstatus IS NULL THEN 'gone' WHEN o.o_orderstatus = n.o_orderstatus THEN 'unchanged' ELSE 'changed' END AS status
+FROM {_OLD} o FULL JOIN {_NEW} n USING (o_orderkey)""")
+def index_status(spark, sf_dir):
+    """What is new, changed, unchanged or gone between two states."""
+    return library.index_status(*_states(spark, sf_dir), "o_orderkey", ("o_orderstatus",))
+
+
+@query(f"SELECT o_orderkey, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice FROM {_OLD} o FULL JOIN {_NEW} n USING (o_orderkey)")
+def state_upsert(spark, sf_dir):
+    """A state under a newer one, of which nulls change nothing."""
+    return library.upserted(*_states(spark, sf_dir), "o_orderkey")
+
+
+@query(f"SELECT * FROM {_NEW} UNION ALL SELECT * FROM {_OLD} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_NEW})")
+def state_replace(spark, sf_dir):
+    """A state with the rows of a newer one in place of its own."""
+    return library.replaced(*_states(spark, sf_dir), "o_orderkey")
+
+
+@query("SELECT event_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events WHERE contains(lower(event_type || ' ' || props), 'error {\"k\": 6') ORDER BY ts DESC, event_id DESC LIMIT 100")
+def log_search(spark, sf_dir):
+    """The last hundred log records that contain a text."""
+    e = table(spark, sf_dir, "events").where(F.contains(F.lower(F.concat_ws(" ", "event_type", "props")), F.lit('error {"k": 6')))
+    return e.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT event_type, count(*) AS n, CASE WHEN event_type = 'error' THEN 'deny' WHEN event_type = 'purchase' THEN 'confirm' WHEN event_type LIKE '%i%' THEN 'allow' ELSE 'unknown' END AS decision FROM events GROUP BY event_type")
+def permissions(spark, sf_dir):
+    """Actions under rules with wildcards."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("decision", strings.permission(F.col("event_type"), ("err*",), ("purchase",), ("*i*",)))
