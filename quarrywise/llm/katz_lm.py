@@ -233,7 +233,7 @@ class Katz:
             mine = owned & (pairs >= MIN_PAIR)
             v, w, n = c.v_at[first[mine]], c.w_at[first[mine]], pairs[mine]
             at, place = np.unique(v, return_inverse=True)
-            sums = [np.bincount(place, x, len(at)) for x in (_discounted(n, totals.d2), totals.word(words[w]))]
+            sums = [np.bincount(place, x, len(at)).astype(float) for x in (_discounted(n, totals.d2), totals.word(words[w]))]
             bucket = np.searchsorted(_edges(buckets), c.words[at], "right") - 1
             return pa.table([pa.array(c.words[at].view(np.int64)), pa.array(bucket.astype(np.int32)), pa.array(words[at]), pa.array(sums[0]), pa.array(sums[1])], names=["v", "bucket", "n", "mass", "low"])
 
