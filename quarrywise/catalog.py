@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import isbn, markdown, reading, strings
 from .functions.strings import text
 from .operators import chunks, cleaning, exports, extract, library, search
-from .plans import answers
+from .plans import answers, evidence
 
 FLAGSHIP = "answer_passages"
 
@@ -508,3 +508,96 @@ def log_search(spark, sf_dir):
 def permissions(spark, sf_dir):
     """Actions under rules with wildcards."""
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("decision", strings.permission(F.col("event_type"), ("err*",), ("purchase",), ("*i*",)))
+
+
+# --- classes, reviews, shelves, evidence
+
+#: Class rules over words that occur in the given texts.
+RULES = (("400", ("the", "and")), ("430", ("der", "und")), ("440", ("les", "des")), ("460", ("los", "ción")))
+
+
+def _rule_sql(x: str, y: str) -> str:
+    one = lambda terms: "8 * " + _sum(x, terms) + " + " + _sum(y, terms)
+    return ", ".join(f"({one(t)}, {-i}, '{c}')" for i, (c, t) in enumerate(RULES))
+
+
+@query(f"""
+SELECT book_id, CASE WHEN best[1] > 0 THEN best[3] END AS code FROM (
+    SELECT book_id, list_max([{_rule_sql("lower(title)", "lower(left(coalesce(text, ''), 30000))")}]) AS best FROM {DOCUMENTS})""")
+def document_classes(spark, sf_dir):
+    """The class of each document by rules."""
+    return documents(spark, sf_dir).select("book_id", library.classified(F.col("title"), F.col("text"), RULES).alias("code"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+def orphan_parts(spark, sf_dir):
+    """Parts that no large order line names."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
+    return library.orphans(table(spark, sf_dir, "part").select("p_partkey", "p_name"), lines, "p_partkey")
+
+
+@query(f"SELECT {_SLUG.format('coalesce(author, chr(32))')} || '__' || {_SLUG.format('title')} AS work_id, count(*) AS n_editions, min(book_id) AS first_id FROM {BOOKS} GROUP BY 1")
+def book_editions(spark, sf_dir):
+    return library.editions(books(spark, sf_dir))
+
+
+@query(f"""
+SELECT book_id, 'missing_author' AS issue FROM {BOOKS} WHERE author IS NULL UNION ALL SELECT book_id, 'missing_isbn' FROM {BOOKS} WHERE len(isbns) = 0
+UNION ALL SELECT book_id, 'unclassified' FROM {BOOKS} WHERE primary_class = '999' UNION ALL SELECT book_id, 'few_topics' FROM {BOOKS} WHERE len(topics) < 2 UNION ALL SELECT book_id, 'not_indexed' FROM {BOOKS} WHERE NOT indexed""")
+def review_issues(spark, sf_dir):
+    return library.review_issues(books(spark, sf_dir))
+
+
+@query(f"""
+SELECT book_id, stem || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.md' AS path FROM (
+    SELECT book_id, stem, row_number() OVER (PARTITION BY stem ORDER BY book_id) AS n FROM (SELECT book_id, primary_class || '/' || title || coalesce(' - ' || author, '') AS stem FROM {BOOKS}))""")
+def shelf_paths(spark, sf_dir):
+    """Where each book's file goes."""
+    return library.shelved(books(spark, sf_dir))
+
+
+@query("SELECT o_custkey, count(*) AS n, string_agg(o_orderstatus, ', ' ORDER BY o_orderkey) AS \"values\" FROM orders GROUP BY 1")
+def listed_values(spark, sf_dir):
+    """Values of each key in order."""
+    return library.listed(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderstatus")
+
+
+def _map_sql(limit: int) -> str:
+    return f"""
+WITH c AS MATERIALIZED (SELECT * FROM {CHUNKS}), s AS ({keyword_sql("documents", "doc_id", ASKED, 12)}), h AS ({keyword_sql("c", "chunk_id", ASKED, 12)}),
+e AS (SELECT query_id, id AS book_id, score * 1.25::DOUBLE AS w FROM s UNION ALL SELECT query_id, split_part(id, '_', 1)::BIGINT, 0.75::DOUBLE FROM h),
+g AS (SELECT query_id, book_id, round(sum(w), 4) AS score, count(*) AS n FROM e GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, book_id)::INT AS rank FROM g QUALIFY rank <= {limit}"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q = asked(spark, sf_dir)
+    whole = search.keyword_search(table(spark, sf_dir, "documents"), q, "doc_id", "text", 12).withColumnRenamed("id", "book_id")
+    parts = search.keyword_search(chunks.chunk_documents(documents(spark, sf_dir)), q, "chunk_id", "text", 12)
+    return whole, parts.withColumn("book_id", F.substring_index("id", "_", 1).cast("long"))
+
+
+@query(_map_sql(8))
+def topic_map(spark, sf_dir):
+    """The documents with most evidence for each benchmark item."""
+    return evidence.topic_map(*_found(spark, sf_dir))
+
+
+@query(f"""
+WITH m AS ({_map_sql(8)}), s AS ({keyword_sql("documents", "doc_id", ASKED, 12)}),
+e AS (SELECT query_id, id AS book_id, 3.0::DOUBLE AS w FROM s UNION ALL SELECT query_id, book_id, greatest(0.5::DOUBLE, 2.0::DOUBLE - 0.1::DOUBLE * (rank - 1)) FROM m),
+g AS (SELECT query_id, book_id, round(sum(w), 4) AS score, count(*) AS n FROM e GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, book_id)::INT AS rank FROM g QUALIFY rank <= 8""")
+def reading_list(spark, sf_dir):
+    """What to read for each benchmark item."""
+    whole, parts = _found(spark, sf_dir)
+    return evidence.reading_list(whole, evidence.topic_map(whole, parts))
+
+
+@query(f"""
+WITH q AS (SELECT query_id, lower(text) AS asked, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2)) AS words FROM {ASKED}),
+s AS (SELECT query_id, doc_id AS id, (len(list_filter(words, lambda w: contains(lower(text), w))) + CASE WHEN contains(lower(text), asked) THEN 3 ELSE 0 END)::INT AS score FROM documents, q WHERE text IS NOT NULL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
+def passage_search(spark, sf_dir):
+    """Documents by the terms of each benchmark item that they contain."""
+    return evidence.passage_search(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), asked(spark, sf_dir))

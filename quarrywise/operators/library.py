@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import alias, canonical_title, normal, slug, text, title_author_key
+from ..functions.strings import alias, canonical_title, file_name, normal, slug, text, title_author_key
 
 
 def body_hash(body: Column) -> Column:
@@ -149,3 +149,46 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def appended(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of old, and rows of new whose key old hasn't."""
     return replaced(new, old, key)
+
+
+def classified(title: Column, body: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], most: int = 30_000) -> Column:
+    """The class code with the best score: 8 for each of its terms in the title, 1 for each in the first characters of the body; the earlier rule wins a tie, and no hit gives null."""
+    t, b = F.lower(text(title)), F.lower(F.left(text(body), F.lit(most)))
+    hits = lambda x, terms: sum((F.contains(x, F.lit(term)).cast("int") for term in terms), F.lit(0))
+    scored = F.array(*[F.struct((8 * hits(t, terms) + hits(b, terms)).alias("score"), F.lit(-i).alias("place"), F.lit(code).alias("code")) for i, (code, terms) in enumerate(rules)])
+    best = F.array_max(scored)
+    return F.when(best["score"] > 0, best["code"])
+
+
+def orphans(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key no other row has."""
+    return rows.join(others.select(key).distinct(), key, "left_anti")
+
+
+def editions(books: DataFrame) -> DataFrame:
+    """(work_id, n_editions, first_id): books of one work."""
+    return books.groupBy(work_id(F.col("title"), F.col("author")).alias("work_id")).agg(F.count("*").alias("n_editions"), F.min("book_id").alias("first_id"))
+
+
+def review_issues(books: DataFrame) -> DataFrame:
+    """(book_id, issue) of books (author, isbns, primary_class, topics, indexed): what a person should look at."""
+    rules = {
+        "missing_author": text(F.col("author")) == "", "missing_isbn": F.size("isbns") == 0, "unclassified": F.col("primary_class") == "999",
+        "few_topics": F.size("topics") < 2, "not_indexed": ~F.col("indexed"),
+    }
+    return books.select("book_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("issue"))
+
+
+def shelved(books: DataFrame) -> DataFrame:
+    """(book_id, path): class folder and file name; of books that would share a path the later ones get a number."""
+    name = F.concat_ws(" - ", file_name(F.col("title")), F.when(text(F.col("author")) != "", file_name(F.col("author"))))
+    rows = books.select("book_id", F.concat(F.coalesce(F.nullif(text(F.col("primary_class")), F.lit("")), F.lit("999")), F.lit("/"), name).alias("stem"))
+    n = F.row_number().over(Window.partitionBy("stem").orderBy("book_id"))
+    rows = rows.withColumn("n", n)
+    return rows.select("book_id", F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(""), F.lit(".md")).alias("path"))
+
+
+def listed(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, n, values): the values of each key in an order, joined by commas."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v"))))
+    return rows.groupBy(key).agg(F.count("*").alias("n"), pairs.alias("p")).select(key, "n", F.array_join(F.transform("p", lambda x: x["v"]), ", ").alias("values"))
