@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, materialize, whole_text
 
 #: Words in a window, and in the runs of which the least hash is the window's anchor.
 WINDOW, ANCHOR = 50, 20
+#: Windows that a task folds at a time.
+FOLDED = 1_000_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -106,16 +108,33 @@ def _described(window: int, anchor: int):
     return run
 
 
+def _folded(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Windows that a task has seen. Of equal ones those in the smallest document stay open; the others are repeats for sure, so a hot window costs a task one document's rows."""
+    h1, h2, doc, start = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((doc, h2, h1))
+    h1, h2, doc, start = (x[order] for x in (h1, h2, doc, start))
+    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+    least = doc[new][np.cumsum(new) - 1]
+    sure = doc > least
+    return pa.RecordBatch.from_arrays([pa.array(h1, mask=sure), pa.array(h2, mask=sure), pa.array(doc), pa.array(start), pa.array(sure)], ["h1", "h2", "doc_id", "start", "sure"])
+
+
 def _candidates(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Windows(window, anchor)
+        find, parts, n = Windows(window, anchor), [], 0
         for batch in batches:
             for doc_id, text, shared in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2)):
                 w = find.words.of(text.split())
                 values, _ = find.anchors(w)
                 at = np.flatnonzero(np.isin(values, np.asarray(shared.values).view(np.uint64)))
                 h1, h2 = (h[at].view(np.int64) for h in find.hashes(w))
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at.astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+                parts.append((h1, h2, np.full(len(at), doc_id, np.int64), at.astype(np.int32)))
+                n += len(at)
+                if n > FOLDED:
+                    yield _folded(parts)
+                    parts, n = [], 0
+        if parts:
+            yield _folded(parts)
 
     return run
 
@@ -144,11 +163,13 @@ def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copies = placed.where("doc_id > first_id").select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("removed")).dropDuplicates(["doc_id"])
     anchors = placed.where("doc_id = first_id").select("doc_id", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    wanted = materialize(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")))
     found = whole_text(docs, id_col, text_col).join(wanted, "doc_id").select("doc_id", "text", "shared")
-    windows = materialize(found.mapInArrow(_candidates(window, anchor), "h1 long, h2 long, doc_id long, start int"))
-    repeated = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    starts = windows.join(repeated, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    windows = materialize(found.mapInArrow(_candidates(window, anchor), "h1 long, h2 long, doc_id long, start int, sure boolean"))
+    least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+    later = windows.where("NOT sure").withColumn("lo", least).where("doc_id > lo")
+    repeats = windows.where("sure").select("doc_id", "start").unionByName(later.select("doc_id", "start"))
+    starts = repeats.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     spans = "doc_id long, removed array<struct<start:long,end:long>>"
     return materialize(starts.mapInArrow(_intervals(window), spans).unionByName(copies))
 
