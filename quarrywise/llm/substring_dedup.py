@@ -158,11 +158,12 @@ def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     against each other. A row with a null id, or with fewer words than a window, loses and takes nothing.
     """
     base = materialize(whole_text(docs, id_col, text_col).where("doc_id IS NOT NULL").mapInArrow(_described(window, anchor), "doc_id long, n_words long, words_key binary, anchors array<long>").where(F.col("n_words") >= window))
-    first = base.groupBy("words_key").agg(F.min("doc_id").alias("first_id"))
-    placed = base.join(first, "words_key")
+    # Written first, so that the join has two plain shuffles, of which the adaptive skew join can split a hot key's.
+    first = materialize(base.groupBy("words_key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("words_key", "first_id"))
+    placed = base.join(first, "words_key", "left")
     copies = placed.where("doc_id > first_id").select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("removed")).dropDuplicates(["doc_id"])
-    anchors = placed.where("doc_id = first_id").select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    anchors = placed.where("first_id IS NULL OR doc_id = first_id").select("doc_id", F.explode("anchors").alias("anchor"))
+    shared = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"))
     wanted = materialize(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")))
     found = whole_text(docs, id_col, text_col).join(wanted, "doc_id").select("doc_id", "text", "shared")
     windows = materialize(found.mapInArrow(_candidates(window, anchor), "h1 long, h2 long, doc_id long, start int, sure boolean"))
@@ -197,5 +198,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id with the same text have the same result. Other columns are left out.
     """
     spans = removal_intervals(docs, id_col, text_col, window, anchor)
-    rows = whole_text(docs, id_col, text_col).join(spans, "doc_id", "left").select("doc_id", "text", "removed")
+    # Merged at any size: the plan for a small table is the plan for a large one.
+    rows = whole_text(docs, id_col, text_col).join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "removed")
     return rows.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>")
