@@ -42,23 +42,22 @@ class Terms(dict):
 
     def __init__(self, known: np.ndarray | None = None, most: int = 200_000):
         super().__init__()
-        self.known, self.most = known, most
+        self.places = None if known is None else {h: i for i, h in enumerate(known.tolist())}
+        self.most = most
 
-    def __missing__(self, word: bytes):
+    def __missing__(self, word: bytes) -> list[int]:
         if len(self) >= self.most:
             self.clear()
         text = word.decode("utf-8", "ignore")
-        h = np.array([xxhash.xxh64_intdigest(t) for t in (word, *((str(n) + text[:n]).encode() for n in (4, 5) if len(text) > n))], np.uint64)
-        if self.known is not None:
-            at = np.searchsorted(self.known, h)
-            at[at == len(self.known)] = 0
-            h = at[self.known[at] == h] if len(self.known) else at[:0]
-        value = self[word] = h.tolist()
-        return value
+        found = [xxhash.xxh64_intdigest(word), *(xxhash.xxh64_intdigest(str(n) + text[:n]) for n in (4, 5) if len(text) > n)]
+        if self.places is not None:
+            found = [self.places[h] for h in found if h in self.places]
+        self[word] = found
+        return found
 
     def of(self, text: bytes) -> np.ndarray:
         """Distinct terms of a text: hashes, or places in known."""
-        return np.array(sorted({t for w in set(text.translate(_PARTS).split()) for t in self[w]}), np.uint64 if self.known is None else np.int64)
+        return np.array(sorted({t for w in set(text.translate(_PARTS).split()) for t in self[w]}), np.uint64 if self.places is None else np.int64)
 
 
 def _segments(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
