@@ -23,7 +23,7 @@ from .common import LOWER, WordHashes, as_bytes, materialize, whole_text
 
 #: Rows whose crc32(id) modulo FOLDS is HELD aren't learned from.
 FOLDS, HELD = 7, 2
-#: Counts up to this are discounted; pairs seen less often than MIN_PAIR leave their mass to backoff, as Katz proposed for singletons.
+#: Counts up to this are discounted; pairs seen less often than MIN_PAIR, or a caller's min_pair, leave their mass to backoff, as Katz proposed for singletons. 1 keeps every pair.
 DISCOUNTED, MIN_PAIR = 6, 2
 #: Bytes of text in a chunk, and n-grams in a bucket.
 CHUNK_BYTES, BUCKET_GRAMS = 8 << 20, 2_000_000
@@ -71,8 +71,8 @@ class Totals:
     scale: float
 
     @classmethod
-    def of(cls, tokens: int, types: int, n1: np.ndarray, n2: np.ndarray) -> Totals:
-        d1, d2 = discounts(n1), discounts(n2, MIN_PAIR)
+    def of(cls, tokens: int, types: int, n1: np.ndarray, n2: np.ndarray, min_pair: int = MIN_PAIR) -> Totals:
+        d1, d2 = discounts(n1), discounts(n2, min_pair)
         lost = sum((1 - d1[r]) * r * n1[r] for r in range(1, DISCOUNTED + 1))
         # Words that are all frequent lose nothing; one more token then stands for the unseen.
         whole = tokens + (1 if lost <= 0 else 0)
@@ -161,7 +161,8 @@ _INTS = [("ord", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int32())]
 class Katz:
     """A model of docs' training rows and what it takes to score docs."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_grams: int = BUCKET_GRAMS):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_grams: int = BUCKET_GRAMS, min_pair: int = MIN_PAIR):
+        self.min_pair = min_pair
         rows = whole_text(docs, id_col, text_col)
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.chunks, self.buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // (6 * bucket_grams)))
@@ -214,14 +215,14 @@ class Katz:
         facts = {1: np.zeros(DISCOUNTED + 4, np.int64), 2: np.zeros(DISCOUNTED + 4, np.int64)}
         for r in self.counts.where("chunk IS NULL").select("ord", "totals").toLocalIterator():
             facts[r.ord] += np.frombuffer(r.totals, "<i8")
-        return Totals.of(int(facts[1][-2]), int(facts[1][-1]), facts[1][:-2], facts[2][:-2])
+        return Totals.of(int(facts[1][-2]), int(facts[1][-1]), facts[1][:-2], facts[2][:-2], self.min_pair)
 
     def _replies(self) -> DataFrame:
         return self.counts.where("chunk IS NOT NULL")
 
     def _weights(self) -> DataFrame:
-        """(v, bucket, log_bow, whole): for each context with pairs of its own, log10 of its backoff weight, and what its pairs' discounted counts are divided by."""
-        totals, buckets = self.totals, self.buckets
+        """(v, bucket, log_bow, extra): for each context with pairs of its own, log10 of its backoff weight, and what its count grows by to divide its pairs' discounted counts."""
+        totals, buckets, min_pair = self.totals, self.buckets, self.min_pair
 
         def own(key, left: pa.Table, right: pa.Table) -> pa.Table:
             c = _chunk(left)
@@ -230,7 +231,7 @@ class Katz:
             owned = pairs < 0
             pairs = np.where(owned, -1 - pairs, pairs)
             first = np.unique(c.p_at, return_index=True)[1]
-            mine = owned & (pairs >= MIN_PAIR)
+            mine = owned & (pairs >= min_pair)
             v, w, n = c.v_at[first[mine]], c.w_at[first[mine]], pairs[mine]
             at, place = np.unique(v, return_inverse=True)
             sums = [np.bincount(place, x, len(at)).astype(float) for x in (_discounted(n, totals.d2), totals.word(words[w]))]
@@ -240,43 +241,44 @@ class Katz:
         parts = self.docs.groupBy("chunk").cogroup(self._replies().drop("keys").groupBy("chunk")).applyInArrow(own, "v long, bucket int, n long, mass double, low double")
         sums = parts.groupBy("v", "bucket").agg(F.max("n").alias("n"), F.sum("mass").alias("mass"), F.sum("low").alias("low"))
         # A context whose pairs keep all of its mass gives one more count to the others.
-        whole = F.when(F.col("mass") < F.col("n") - 1e-9, F.col("n")).otherwise(F.col("n") + 1).cast("double")
-        bow = F.log10((1 - F.col("mass") / F.col("whole")) / (1 - F.col("low")))
-        return sums.withColumn("whole", whole).select("v", "bucket", bow.alias("log_bow"), "whole")
+        extra = F.when(F.col("mass") < F.col("n") - 1e-9, 0).otherwise(1)
+        bow = F.log10((1 - F.col("mass") / (F.col("n") + F.col("extra"))) / (1 - F.col("low")))
+        return sums.withColumn("extra", extra).select("v", "bucket", bow.alias("log_bow"), "extra")
 
     def _weight_replies(self) -> DataFrame:
-        """For each chunk's words the weight and divisor of the context that they are."""
+        """For each chunk's words the weight (order 3) and extra count (order 4) of the context that they are."""
 
         def reply(key, left: pa.Table, right: pa.Table) -> pa.Table:
             v = right.column("v").to_numpy().view(np.uint64)
             order = np.argsort(v)
-            v, values = v[order], np.stack([right.column(c).to_numpy()[order] for c in ("log_bow", "whole")], 1)
+            v, values = v[order], [(o, right.column(c).to_numpy()[order], kind) for o, c, kind in ((3, "log_bow", "<f8"), (4, "extra", "u1"))]
             rows = []
             for chunk, bucket, sent in zip(left.column("chunk").to_pylist(), left.column("bucket").to_pylist(), left.column("keys").to_pylist()):
-                keys, out = np.frombuffer(sent, np.uint64), np.zeros((len(sent) // 8, 2))
-                if len(v):
-                    at = np.minimum(np.searchsorted(v, keys), len(v) - 1)
-                    hit = v[at] == keys
-                    out[hit] = values[at[hit]]
-                rows.append((3, bucket, chunk, _packed(out)))
+                keys = np.frombuffer(sent, np.uint64)
+                at = np.minimum(np.searchsorted(v, keys), max(0, len(v) - 1))
+                hit = v[at] == keys if len(v) else np.zeros(len(keys), bool)
+                for o, x, kind in values:
+                    out = np.zeros(len(keys), kind)
+                    out[hit] = x[at[hit]]
+                    rows.append((o, bucket, chunk, _packed(out)))
             return _table(rows, [*_INTS, ("totals", pa.binary())])
 
         asked = self._replies().where("ord = 1").select("chunk", "bucket", "keys")
         return asked.groupBy("bucket").cogroup(self.backoff.groupBy("bucket")).applyInArrow(reply, "ord int, bucket int, chunk int, totals binary")
 
     def score(self) -> DataFrame:
-        totals = self.totals
+        totals, min_pair = self.totals, self.min_pair
 
         def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
             c = _chunk(left)
             words, pairs = (_answers(right, o, "totals", "<i8") for o in (1, 2))
             words, pairs = (np.where(x < 0, -1 - x, x) for x in (words, pairs))
-            weights = _answers(right, 3, "totals", "<f8").reshape(-1, 2)
+            log_bow, whole = _answers(right, 3, "totals", "<f8"), words + _answers(right, 4, "totals", "u1")
             cw, cp = words[c.w_at], pairs[c.p_at]
-            seen = cp >= MIN_PAIR
+            seen = cp >= min_pair
             with np.errstate(divide="ignore", invalid="ignore"):
-                direct = np.log10(_discounted(cp, totals.d2) / weights[c.v_at, 1])
-            logs = np.where(seen, direct, weights[c.v_at, 0] + np.log10(totals.word(cw)))
+                direct = np.log10(_discounted(cp, totals.d2) / whole[c.v_at])
+            logs = np.where(seen, direct, log_bow[c.v_at] + np.log10(totals.word(cw)))
             base = np.log10((cw + 1) / (totals.tokens + totals.types + 1))
             held = [held_out(i) for i in c.ids]
             return pa.table(
@@ -289,14 +291,14 @@ class Katz:
         return self.docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_grams: int = BUCKET_GRAMS, min_pair: int = MIN_PAIR) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are lower-cased words and one end. score is log10 of the model's probability of the text:
-    P(w|v) is the discounted share of v's pairs that are vw if that pair is known, else v's backoff
-    weight times P(w). Words never seen in training share one event, as in base_score, which is the
+    P(w|v) is the discounted share of v's pairs that are vw if that pair was seen min_pair times, else
+    v's backoff weight times P(w). Words never seen in training share one event, as in base_score, which is the
     add-one unigram. Null and empty texts are the end alone. A null id is not held out. Repeated rows
     count, and are scored, each. With nothing to learn from, each token is the unseen event. Other
     columns are left out. No rows give no rows.
     """
-    return Katz(docs, id_col, text_col, chunk_bytes, bucket_grams).score()
+    return Katz(docs, id_col, text_col, chunk_bytes, bucket_grams, min_pair).score()

@@ -61,7 +61,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_lm.lm_scores(_table(spark, sf_dir, "documents"))
+    return katz_lm.lm_scores(_table(spark, sf_dir, "documents"), min_pair=1)
 
 
 QUERIES = {
