@@ -426,10 +426,22 @@ def related_books(spark, sf_dir):
     return library.related(b, b.where("book_id % 20 = 0"))
 
 
+@query(f"""
+WITH b AS (SELECT * FROM {BOOKS}),
+t AS (SELECT book_id, 'author' AS kind, {_NORMAL.format("author")} AS trait FROM b UNION ALL SELECT book_id, 'class', primary_class FROM b
+      UNION ALL SELECT book_id, 'work', {_SLUG.format("coalesce(author, '')")} || '__' || {_SLUG.format("title")} FROM b UNION ALL SELECT DISTINCT book_id, 'topic', {_NORMAL.format("x")} FROM (SELECT book_id, unnest(topics) AS x FROM b)),
+p AS (SELECT s.book_id, o.book_id AS other_id, count_if(kind = 'work') AS w, count_if(kind = 'author') AS a, count_if(kind = 'class') AS c, count_if(kind = 'topic') AS n
+      FROM t s JOIN t o USING (kind, trait) WHERE s.book_id < o.book_id AND trait <> '' GROUP BY ALL)
+SELECT * FROM (SELECT book_id, other_id, round(least(1.0::DOUBLE, least(0.95::DOUBLE, 0.95::DOUBLE * w) + least(0.35::DOUBLE, 0.35::DOUBLE * a) + least(0.25::DOUBLE, 0.25::DOUBLE * c) + least(0.5::DOUBLE, 0.12::DOUBLE * n)), 3) AS score FROM p) WHERE score >= 0.2""")
+def book_graph(spark, sf_dir):
+    """All pairs of books with enough in common."""
+    return library.edges(books(spark, sf_dir))
+
+
 @query()
 def graph_records(spark, sf_dir):
-    """Edges to related books as GraphML, Mermaid and Cytoscape records."""
-    return related_books(spark, sf_dir).select("book_id", "other_id", exports.graphml_edges().alias("graphml"), exports.mermaid_edges().alias("mermaid"), exports.cytoscape_edges().alias("cytoscape"))
+    """Edges of the book graph as GraphML, Mermaid and Cytoscape records."""
+    return book_graph(spark, sf_dir).select("book_id", "other_id", exports.graphml_edges().alias("graphml"), exports.mermaid_edges().alias("mermaid"), exports.cytoscape_edges().alias("cytoscape"))
 
 
 #: Routing names over the words of part names.

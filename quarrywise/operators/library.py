@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,10 @@ def level_counts(books: DataFrame, column: str, order: tuple[str, ...]) -> DataF
 EDGE = {"work": (0.95, 0.95), "author": (0.35, 0.35), "class": (0.25, 0.25), "topic": (0.12, 0.5), "alias": (0.1, 0.35), "term": (0.08, 0.45)}
 
 
+#: Books of one trait that meet in a task.
+HOT_BLOCK = 1000
+
+
 def traits(books: DataFrame) -> DataFrame:
     """(book_id, kind, trait) of books (book_id, title, author, primary_class, topics)."""
     one = lambda kind, c: books.select("book_id", F.lit(kind).alias("kind"), c.alias("trait"))
@@ -91,16 +97,38 @@ def traits(books: DataFrame) -> DataFrame:
     return rows.where("trait <> ''")
 
 
+def edge_score(shared: Callable[[str], Column]) -> Column:
+    """The score of two books by how many traits of a kind they share."""
+    parts = [F.least(F.lit(most), each * shared(k)) for k, (each, most) in EDGE.items()]
+    score = parts[0]
+    for p in parts[1:]:
+        score = score + p
+    return F.round(F.least(F.lit(1.0), score), 3)
+
+
+def edges(books: DataFrame, least: float = 0.2, block: int = HOT_BLOCK) -> DataFrame:
+    """(book_id, other_id, score): all pairs of books, lesser id first, with a score of least or more.
+
+    Books meet at the traits they share and carry all of theirs, so a pair is scored where it arises, at
+    the least trait it shares, and pairs are never shuffled. A trait of many books is cut into blocks of
+    about so many, and each pair of blocks is a key of its own. The edges themselves grow with the square of a class.
+    """
+    keys = traits(books).select("book_id", F.concat_ws(":", "kind", "trait").alias("key"))
+    sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    all_keys = keys.groupBy("book_id").agg(F.collect_set("key").alias("keys"))
+    rows = all_keys.select("book_id", "keys", F.explode("keys").alias("key")).join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("book_id"), F.col("blocks")).cast("int"))
+    side = lambda book, keys, mine, others: rows.select("key", F.col("book_id").alias(book), F.col("keys").alias(keys), F.col("own").alias(mine), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(others))
+    pairs = side("book_id", "a", "at", "to").join(side("other_id", "b", "to", "at"), ["key", "at", "to"]).where("book_id < other_id")
+    met = pairs.select("book_id", "other_id", "key", F.array_intersect("a", "b").alias("shared")).where(F.col("key") == F.array_min("shared"))
+    return met.select("book_id", "other_id", edge_score(lambda k: F.size(F.filter("shared", lambda x: F.startswith(x, F.lit(f"{k}:"))))).alias("score")).where(F.col("score") >= least)
+
+
 def related(books: DataFrame, seeds: DataFrame, limit: int = 10, least: float = 0.2) -> DataFrame:
     """(book_id, other_id, score, rank): for each seed (book_id) the books it has most in common with. Only traits of seeds are joined, and pairs are summed where they arise."""
     t = traits(books)
     mine = t.join(seeds.select("book_id").distinct(), "book_id", "left_semi").withColumnRenamed("book_id", "seed")
     pairs = mine.join(t, ["kind", "trait"]).where("seed <> book_id").groupBy("seed", "book_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in EDGE])
-    parts = [F.least(F.lit(most), each * F.col(k)) for k, (each, most) in EDGE.items()]
-    score = parts[0]
-    for p in parts[1:]:
-        score = score + p
-    scored = pairs.select(F.col("seed").alias("query_id"), F.col("book_id").alias("id"), F.round(F.least(F.lit(1.0), score), 3).alias("score")).where(F.col("score") >= least)
+    scored = pairs.select(F.col("seed").alias("query_id"), F.col("book_id").alias("id"), edge_score(F.col).alias("score")).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select(F.col("query_id").alias("book_id"), F.col("id").alias("other_id"), "score", "rank")
 
