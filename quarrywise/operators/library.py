@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import alias, canonical_title, file_name, normal, slug, text, title_author_key
+from .search import broadcast_if_small
 
 
 def body_hash(body: Column) -> Column:
@@ -141,7 +142,7 @@ def route(queries: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(text(c)), F.lit(r"[a-z0-9][a-z0-9'\-]{2,}"), F.lit(0)))
     pairs = queries.select("query_id", F.concat(F.lit(" "), F.regexp_replace(squeezed_lower(F.col("text")), "[^a-z0-9]+", " "), F.lit(" ")).alias("q"), words(F.col("text")).alias("qw")).crossJoin(
-        F.broadcast(names.select("alias", F.regexp_replace(squeezed_lower(F.replace("alias", F.lit("_"), F.lit(" "))), "[^a-z0-9]+", " ").alias("a"), words(F.col("label")).alias("aw")).limit(10_000))
+        broadcast_if_small(names.select("alias", F.regexp_replace(squeezed_lower(F.replace("alias", F.lit("_"), F.lit(" "))), "[^a-z0-9]+", " ").alias("a"), words(F.col("label")).alias("aw")))
     )
     score = F.when(F.contains("q", F.concat(F.lit(" "), "a", F.lit(" "))), 4.0).otherwise(0.0) + F.least(F.lit(2.5), 0.6 * F.size(F.array_intersect("qw", "aw")))
     rows = pairs.select("query_id", "alias", F.round(score, 2).alias("score")).where("score > 0")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 K1, B, FUSION = 1.2, 0.75, 60
 #: Vectors in a block of queries and of rows; scores of a pair of blocks are one small matrix.
 BLOCK = 2048
+#: Rows of a query set or of names that are broadcast; more are joined by shuffle.
+SMALL = 10_000
 
 
 def terms(x: Column) -> Column:
@@ -39,6 +41,11 @@ def keyword_search(rows: DataFrame, queries: DataFrame, id_col: str, text_col: s
     return top(hits, limit)
 
 
+def broadcast_if_small(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """rows, marked for broadcast if a count proves that there are at most so many; joined by shuffle otherwise. None are left out."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def top(hits: DataFrame, limit: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
