@@ -91,10 +91,12 @@ HOT_BLOCK = 1000
 
 
 def traits(books: DataFrame) -> DataFrame:
-    """(book_id, kind, trait) of books (book_id, title, author, primary_class, topics)."""
+    """(book_id, kind, trait) of books (book_id, title, author, primary_class, topics and, if there, the arrays routing_aliases and summary_terms)."""
     one = lambda kind, c: books.select("book_id", F.lit(kind).alias("kind"), c.alias("trait"))
     rows = one("author", normal(F.col("author"))).unionByName(one("class", text(F.col("primary_class")))).unionByName(one("work", work_id(F.col("title"), F.col("author"))))
-    rows = rows.unionByName(books.select("book_id", F.lit("topic").alias("kind"), F.explode(F.array_distinct(F.transform("topics", normal))).alias("trait")))
+    for kind, c in (("topic", "topics"), ("alias", "routing_aliases"), ("term", "summary_terms")):
+        if c in books.columns:
+            rows = rows.unionByName(books.select("book_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.transform(c, normal))).alias("trait")))
     return rows.where("trait <> ''")
 
 

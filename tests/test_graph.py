@@ -26,3 +26,10 @@ def test_the_graph_has_all_pairs(spark):
         assert {(r.book_id, r.other_id): r.score for r in got} == want and len(got) == len(want)
     records = catalog.graph_records(spark, SMALL)
     assert {(r.book_id, r.other_id) for r in records.collect()} == set(want)
+
+
+def test_aliases_and_terms_make_edges(spark):
+    rows = [(1, ["A one", "b", "c"], None), (2, ["c", "b", "a  ONE", "b"], None), (3, None, ["x", "y", "z"]), (4, ["b"], ["z", "y", "x"])]
+    books = spark.createDataFrame([(i, f"t{i}", f"a{i}", None, [], a, t) for i, a, t in rows], "book_id long, title string, author string, primary_class string, topics array<string>, routing_aliases array<string>, summary_terms array<string>")
+    assert {tuple(r) for r in library.edges(books).collect()} == {(1, 2, 0.3), (3, 4, 0.24)}
+    assert {(r.book_id, r.other_id, r.score) for r in library.related(books, books).collect()} == {(1, 2, 0.3), (2, 1, 0.3), (3, 4, 0.24), (4, 3, 0.24)}
