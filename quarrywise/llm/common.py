@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z in UTF-8 bytes and leaves all other bytes alone.
@@ -19,8 +19,19 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarrywise-scratch"
+    """This application's folder below the shared one that spark.checkpoint.dir names. Where that is unset, a temporary folder serves a local session; a cluster has no folder to share and is refused."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.gettempdir()}/quarrywise-scratch"
+    return f"{shared.rstrip('/')}/quarrywise-{spark.sparkContext.applicationId}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Removes the tables that materialize wrote in this application. Results that are still to be computed from them are lost, so it is for the end of a job."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -30,7 +41,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     and the shuffle files of the query that made the table are released as soon as it ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -45,6 +56,11 @@ def whole_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def with_row(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs with all of its columns inside one named `row`, so that no name of theirs clashes with those of columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; nulls are empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -57,6 +73,28 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
         yield batch.column(0).to_pylist(), as_bytes(batch.column(1))
 
 
+class WordPairs(dict):
+    """Word -> its place in two arrays of 64-bit hashes with seeds of their own, remembered up to a bound."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most, self.hashes = most, np.empty((2, 1024), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if at >= self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)], axis=1)
+        self.hashes[0, at], self.hashes[1, at] = xxhash.xxh64_intdigest(word, 0), xxhash.xxh64_intdigest(word, 1)
+        return at
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Two rows of hashes. What is remembered is dropped between texts only, so that places stay true within one."""
+        if len(self) >= self.most:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.hashes[:, at]
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a bound so that memory does not follow the vocabulary."""
 

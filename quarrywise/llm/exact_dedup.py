@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, with_row
 
 #: Bytes of text that one table may hold, and sub-buckets for each spilled bucket.
 MEMORY_BYTES, FAN_OUT_BITS = 48 << 20, 4
@@ -150,17 +150,15 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct text: its digest, keep_id, group_size and n_keep (rows that have keep_id)."""
-    pairs = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    pairs = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
     return pairs.mapInArrow(_fold, _FOLDED).repartition("h").mapInArrow(_bucket, _GROUPS)
 
 
 def _with_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with its group under the name __copy. A hot text makes one key hot; the adaptive skew join splits it, as no later step needs a key's rows together."""
-    groups = copy_groups(docs, id_col, text_col)
-    g = groups.select(F.struct("text_sha256", "n_bytes").alias("__key"), F.struct("keep_id", "group_size", "n_keep").alias("__copy"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumn("__key", F.struct(F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("n_bytes")))
-    return own.join(g, "__key")
+    """(row, doc_id, text_sha256, n_bytes, keep_id, group_size): docs' rows with their groups. A hot text makes one key hot; the adaptive skew join splits it, as no later step needs a key's rows together."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = with_row(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text_sha256=F.sha2(text, 256), n_bytes=F.octet_length(text).cast("long"))
+    return own.join(copy_groups(docs, id_col, text_col).select("text_sha256", "n_bytes", "keep_id", "group_size"), ["text_sha256", "n_bytes"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,16 +168,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     largest id of a group stays (a null id is below all others); of rows that repeat that id, one
     stays. Any other column of docs is left out, so that no name clashes. No rows give no rows.
     """
-    rows = _with_groups(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    rows = rows.select("doc_id", F.col("__copy.keep_id").alias("keep_id"), F.col("__copy.group_size").alias("group_size"), F.col("__key.text_sha256").alias("text_sha256"))
+    rows = _with_groups(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text").drop("row")
     # Ids are distinct, so a partition of this window is a row, but for rows that repeat an id.
     nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
     return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with docs' own columns."""
-    rows = _with_groups(docs, id_col, text_col).where(F.col(id_col).cast("long").eqNullSafe(F.col("__copy.keep_id")))
+    """The rows of docs that exact_dedup keeps, with docs' own columns, whatever their names."""
+    rows = _with_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     # Only rows that hold their group's keep_id are left: one per text, but for rows that repeat an id.
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    return rows.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    nth = F.row_number().over(Window.partitionBy("text_sha256", "n_bytes").orderBy(F.lit(0)))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")

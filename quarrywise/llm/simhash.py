@@ -16,15 +16,15 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, materialize, whole_text
+from .common import LOWER, as_bytes, materialize, with_row
 
 #: Words in a shingle, seed of XXH64, and bits that linked fingerprints may differ in.
 SHINGLE, SEED, ERRORS = 3, 42, 3
-#: Node pairs that are expanded at a time.
-CHUNK = 200_000
+#: Node pairs that are expanded at a time, and rows of subtrees that a task holds before it joins those that are whole.
+CHUNK, SUBTREES = 200_000, 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -38,15 +38,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def text_key(docs: DataFrame, text_col: str) -> Column:
+    """Tells apart the texts of rows that repeat an id."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: doc_id, fp (the 64 bits as a signed long)."""
+    """One row per input row: doc_id, text_key, fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in as_bytes(batch.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
-    return whole_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(docs, text_col).alias("text_key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def layouts(n: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -155,25 +161,48 @@ def links(nodes: DataFrame, n: int) -> DataFrame:
                 key = _laid_out(fps, runs) >> np.uint64(64 - top)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int32)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], ["t", "key", "fp", "id"])
 
+    def joined(t: int, fps: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        runs, top = plan[t]
+        values = _laid_out(fps.view(np.uint64), runs)
+        order = np.argsort(values)
+        values, own = values[order], ids[order]
+        keys = values >> np.uint64(64 - top)
+        roots = trie_components(values, np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), top)
+        linked = np.flatnonzero(roots != np.arange(len(roots)))
+        a, b = own[linked], own[roots[linked]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        table, fps, ids = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (0, 2, 3))
-        for t in np.unique(table):
-            runs, top = plan[t]
-            mine = table == t
-            values, own = _laid_out(fps[mine].view(np.uint64), runs), ids[mine]
-            order = np.argsort(values)
-            values, own = values[order], own[order]
-            keys = values >> np.uint64(64 - top)
-            roots = trie_components(values, np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), top)
-            linked = np.flatnonzero(roots != np.arange(len(roots)))
-            a, b = own[linked], own[roots[linked]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+        """Rows come sorted by table and key. Whole subtrees are joined as soon as SUBTREES rows of one table are there; only the last, which may go on, waits."""
+        held: list[np.ndarray] = []
+
+        def flush(rows: np.ndarray, last: bool) -> tuple[list[pa.RecordBatch], np.ndarray]:
+            out = []
+            while len(rows):
+                same = int((rows[:, 0] == rows[0, 0]).sum())
+                mine = rows[:same]
+                if same == len(rows) and not last:
+                    cut = int(np.flatnonzero(mine[:, 1] == mine[-1, 1])[0])
+                    if cut:
+                        out.append(joined(int(mine[0, 0]), mine[:cut, 2].copy(), mine[:cut, 3].copy()))
+                    return out, rows[cut:]
+                out.append(joined(int(mine[0, 0]), mine[:, 2].copy(), mine[:, 3].copy()))
+                rows = rows[same:]
+            return out, rows
+
+        n = 0
+        for b in batches:
+            held.append(np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)], 1))
+            n += b.num_rows
+            if n > SUBTREES:
+                out, rest = flush(np.concatenate(held), False)
+                yield from out
+                held, n = [rest], len(rest)
+        if n:
+            yield from flush(np.concatenate(held), True)[0]
 
     spread_rows = nodes.select("fp", "id").mapInArrow(spread, "t int, key long, fp long, id long")
-    return spread_rows.repartition("t", "key").mapInArrow(join, "u long, v long")
+    return spread_rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(join, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,6 +224,14 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, text_key, fp, component_id), a row per input row."""
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    found = components(links(nodes.where("id IS NOT NULL"), nodes.count()))
+    return fps.join(nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "fp")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -203,17 +240,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     like any other; a text of fewer words than a shingle is one shingle. Ids that are null take part
     in no component but get that of their fingerprint. Other columns are left out.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    n = nodes.count()
-    found = components(links(nodes.where("id IS NOT NULL"), n))
-    named = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _placed(docs, id_col, text_col, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose id is their component's, with docs' own columns: one document of each group stays. Of rows that repeat an id one stays; rows without an id can't stand for a group and stay."""
-    rows = simhash_dedup(docs, id_col, text_col, shingle)
-    kept = rows.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    own = F.col(f"`{id_col}`")
-    return docs.join(kept, own == F.col("__kept")).drop("__kept").dropDuplicates([id_col]).unionByName(docs.where(own.isNull()))
+    """The rows of docs whose id is their component's, with docs' own columns, whatever their names: one document of each group stays. Of a group's rows that repeat its id one stays; rows without an id can't stand for a group and stay."""
+    kept = _placed(docs, id_col, text_col, shingle).where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
+    own = with_row(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text_key=text_key(docs, text_col))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.lit(0)))
+    chosen = own.join(kept, ["doc_id", "text_key"]).withColumn("nth", nth).where("nth = 1")
+    return chosen.select("row.*").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, materialize, whole_text
+from .common import WordPairs, as_bytes, materialize, whole_text
 
 #: Words in a window, and in the runs of which the least hash is the window's anchor.
 WINDOW, ANCHOR = 50, 20
@@ -63,10 +63,11 @@ class Windows:
 
     def __init__(self, window: int = WINDOW, anchor: int = ANCHOR):
         self.window, self.anchor = window, min(anchor, window)
-        self.words, self.rolling = WordHashes(), [Rolling(b) for b in _BASES]
+        self.words, self.rolling = WordPairs(), [Rolling(b) for b in _BASES]
 
-    def anchors(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(anchor of each window, its place)."""
+    def anchors(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor of each window, its place). words: two hashes of each."""
+        w = words[0]
         if len(w) < self.window:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         runs = self.rolling[0].hashes(w, self.anchor)
@@ -74,8 +75,8 @@ class Windows:
         at = np.lib.stride_tricks.sliding_window_view(runs, self.window - self.anchor + 1).argmin(1) + np.arange(n)
         return runs[at], at
 
-    def hashes(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.rolling[0].hashes(w, self.window), self.rolling[1].hashes(_mixed(w), self.window)
+    def hashes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.rolling[0].hashes(words[0], self.window), self.rolling[1].hashes(words[1], self.window)
 
 
 def merged(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def _described(window: int, anchor: int):
         find = Windows(window, anchor)
         for batch in batches:
             n_words, keys, offsets, anchors = [], [], [0], []
-            for text in as_bytes(batch.column(1)):
+            for text in as_bytes(batch.column(2)):
                 words = text.split()
                 values, at = find.anchors(find.words.of(words))
                 values = values[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])] if len(at) else values
@@ -101,8 +102,8 @@ def _described(window: int, anchor: int):
                 offsets.append(offsets[-1] + len(values))
             values = np.concatenate([np.empty(0, np.uint64), *anchors]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))],
-                ["doc_id", "n_words", "words_key", "anchors"],
+                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))],
+                ["doc_id", "text_key", "n_words", "words_key", "anchors"],
             )
 
     return run
@@ -110,26 +111,27 @@ def _described(window: int, anchor: int):
 
 def _folded(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Windows that a task has seen. Of equal ones those in the smallest document stay open; the others are repeats for sure, so a hot window costs a task one document's rows."""
-    h1, h2, doc, start = (np.concatenate(x) for x in zip(*parts))
+    h1, h2, doc, text_key, start = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((doc, h2, h1))
-    h1, h2, doc, start = (x[order] for x in (h1, h2, doc, start))
+    h1, h2, doc, text_key, start = (x[order] for x in (h1, h2, doc, text_key, start))
     new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
     least = doc[new][np.cumsum(new) - 1]
     sure = doc > least
-    return pa.RecordBatch.from_arrays([pa.array(h1, mask=sure), pa.array(h2, mask=sure), pa.array(doc), pa.array(start), pa.array(sure)], ["h1", "h2", "doc_id", "start", "sure"])
+    return pa.RecordBatch.from_arrays([pa.array(h1, mask=sure), pa.array(h2, mask=sure), pa.array(doc), pa.array(text_key), pa.array(start), pa.array(sure)], ["h1", "h2", "doc_id", "text_key", "start", "sure"])
 
 
 def _candidates(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, parts, n = Windows(window, anchor), [], 0
         for batch in batches:
-            for doc_id, text, shared in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2)):
+            for doc_id, text_key, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3)):
                 w = find.words.of(text.split())
                 values, _ = find.anchors(w)
                 at = np.flatnonzero(np.isin(values, np.asarray(shared.values).view(np.uint64)))
                 h1, h2 = (h[at].view(np.int64) for h in find.hashes(w))
-                parts.append((h1, h2, np.full(len(at), doc_id, np.int64), at.astype(np.int32)))
-                n += len(at)
+                if len(at):
+                    parts.append((h1, h2, np.full(len(at), doc_id, np.int64), np.full(len(at), text_key, np.int64), at.astype(np.int32)))
+                    n += len(at)
                 if n > FOLDED:
                     yield _folded(parts)
                     parts, n = [], 0
@@ -142,36 +144,45 @@ def _candidates(window: int, anchor: int):
 def _intervals(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [merged(np.sort(np.asarray(s.values)), window) for s in batch.column(1)]
+            found = [merged(np.sort(np.asarray(s.values)), window) for s in batch.column(2)]
             spans = [[{"start": int(a), "end": int(b)} for a, b in zip(*f)] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "text_key", "removed"])
 
     return run
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, text): a row is told by its id and a hash of its text, so that rows that repeat an id with other texts stay apart."""
+    return whole_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
 def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id and removed array<struct<start,end>>: the maximal runs of words to remove; documents that lose nothing have no row.
+    """doc_id, text_key (Spark's xxhash64 of the text) and removed array<struct<start,end>>: the maximal runs of words to remove; texts that lose nothing have no row.
 
     A word goes if it is in a window whose words also start in a document with a smaller id. Words are
     runs of anything but ASCII white space. Documents of one word sequence are folded into the first of
-    them, of which each later copy is wholly a repeat. Windows of the same document don't count
-    against each other. A row with a null id, or with fewer words than a window, loses and takes nothing.
+    them, of which each later copy is wholly a repeat. Windows of the same id don't count against each
+    other, whether in one text or in several. A row with a null id, or with fewer words than a window,
+    loses and takes nothing.
     """
-    base = materialize(whole_text(docs, id_col, text_col).where("doc_id IS NOT NULL").mapInArrow(_described(window, anchor), "doc_id long, n_words long, words_key binary, anchors array<long>").where(F.col("n_words") >= window))
+    described = _keyed(docs, id_col, text_col).where("doc_id IS NOT NULL").mapInArrow(_described(window, anchor), "doc_id long, text_key long, n_words long, words_key binary, anchors array<long>")
+    base = materialize(described.where(F.col("n_words") >= window))
     # Written first, so that the join has two plain shuffles, of which the adaptive skew join can split a hot key's.
     first = materialize(base.groupBy("words_key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("words_key", "first_id"))
     placed = base.join(first, "words_key", "left")
-    copies = placed.where("doc_id > first_id").select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("removed")).dropDuplicates(["doc_id"])
-    anchors = placed.where("first_id IS NULL OR doc_id = first_id").select("doc_id", F.explode("anchors").alias("anchor"))
+    copies = placed.where("doc_id > first_id").select("doc_id", "text_key", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("removed")).dropDuplicates(["doc_id", "text_key"])
+    anchors = placed.where("first_id IS NULL OR doc_id = first_id").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
     shared = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"))
-    wanted = materialize(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")))
-    found = whole_text(docs, id_col, text_col).join(wanted, "doc_id").select("doc_id", "text", "shared")
-    windows = materialize(found.mapInArrow(_candidates(window, anchor), "h1 long, h2 long, doc_id long, start int, sure boolean"))
-    least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    later = windows.where("NOT sure").withColumn("lo", least).where("doc_id > lo")
-    repeats = windows.where("sure").select("doc_id", "start").unionByName(later.select("doc_id", "start"))
-    starts = repeats.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    spans = "doc_id long, removed array<struct<start:long,end:long>>"
+    wanted = materialize(anchors.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("shared")))
+    found = _keyed(docs, id_col, text_col).join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "shared")
+    windows = materialize(found.mapInArrow(_candidates(window, anchor), "h1 long, h2 long, doc_id long, text_key long, start int, sure boolean"))
+    # The least document of a window is found by partial sums and joined back, so that a hot window is never gathered in one task.
+    still = windows.where("NOT sure")
+    least = materialize(still.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
+    later = still.join(least, ["h1", "h2"]).where("doc_id > lo")
+    repeats = windows.where("sure").select("doc_id", "text_key", "start").unionByName(later.select("doc_id", "text_key", "start"))
+    starts = repeats.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    spans = "doc_id long, text_key long, removed array<struct<start:long,end:long>>"
     return materialize(starts.mapInArrow(_intervals(window), spans).unionByName(copies))
 
 
@@ -195,9 +206,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by one space), removed (null if nothing goes).
 
     See removal_intervals for what goes. Null and empty texts have no words and an empty kept_text.
-    Rows that repeat an id with the same text have the same result. Other columns are left out.
+    Rows that repeat an id with the same text have the same result; with other texts each has its own.
+    Other columns are left out.
     """
     spans = removal_intervals(docs, id_col, text_col, window, anchor)
     # Merged at any size: the plan for a small table is the plan for a large one.
-    rows = whole_text(docs, id_col, text_col).join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "removed")
+    rows = _keyed(docs, id_col, text_col).join(spans.hint("merge"), ["doc_id", "text_key"], "left").select("doc_id", "text", "removed")
     return rows.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>")
