@@ -32,8 +32,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("block"))
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), labels)
+    """No table labels URLs (`labels` is about documents and says nothing of pages of the same number), so rules are mined from what the given rules say of the pages that they fit, and decide the others."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, url_filter.rule_labels(pages))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,34 @@ FROM words LEFT JOIN hit_words hw USING (id) LEFT JOIN hit_items hi USING (id) W
     "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op5_url_filter": f"""
+WITH rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cuts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM rests),
+parts AS (
+    SELECT page_id, {_LOWER.format("h")} AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path,
+           regexp_extract(substr(rest, length(h) + 1), '^[^?#]*\\?([^#]*)', 1) AS query FROM cuts),
+given AS (
+    SELECT *, CASE {" ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in sorted(url_filter.RULES, key=lambda r: -len(r.name)))} END AS rule FROM parts),
+told AS (SELECT *, CASE {" ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in url_filter.RULES)} END AS said FROM given),
+labels_of AS (SELECT page_id, i, len(x) AS n, x[i] AS label FROM (SELECT page_id, list_filter(string_split(host, '.'), lambda v: v <> '') AS x FROM parts), unnest(range(1, len(x) + 1)) AS t(i)),
+tokens AS (
+    SELECT page_id, 'domain=' || string_agg(label, '.' ORDER BY i) AS token FROM labels_of WHERE i > n - 2 GROUP BY page_id
+    UNION SELECT page_id, 'domain=' FROM parts WHERE page_id NOT IN (SELECT page_id FROM labels_of)
+    UNION SELECT page_id, 'sub=' || label FROM labels_of WHERE i <= n - 2
+    UNION SELECT page_id, 'path=' || x FROM (SELECT page_id, unnest(string_split(path, '/')) AS x FROM parts) WHERE x <> ''
+    UNION SELECT page_id, 'query=' || string_split(x, '=')[1] FROM (SELECT page_id, unnest(string_split(query, '&')) AS x FROM parts) WHERE x <> ''),
+bad AS (SELECT count(*) AS n, sum((said = 'block')::INT) AS bad FROM told WHERE said IS NOT NULL),
+frequent AS (SELECT token FROM tokens JOIN told USING (page_id) WHERE said = 'block' GROUP BY token HAVING count(*) >= (SELECT greatest({url_filter.LEAST}, {url_filter.SUPPORT} * bad) FROM bad)),
+baskets AS (SELECT page_id, said, list(token ORDER BY token) AS items FROM tokens JOIN told USING (page_id) WHERE token IN (SELECT token FROM frequent) GROUP BY page_id, said),
+subsets AS (
+    SELECT page_id, said, string_agg(items[i], '|' ORDER BY i) AS need
+    FROM (SELECT page_id, said, items, unnest(range(1, (1 << len(items))::BIGINT)) AS m FROM baskets), unnest(range(1, len(items) + 1)) AS t(i) WHERE (m >> (i - 1)::INT) % 2 = 1 GROUP BY page_id, said, m),
+rules AS (
+    SELECT need, sum((said = 'block')::INT) / count(*) AS confidence FROM subsets WHERE said IS NOT NULL GROUP BY need
+    HAVING sum((said = 'block')::INT) >= (SELECT greatest({url_filter.LEAST}, {url_filter.SUPPORT} * bad) FROM bad)
+       AND sum((said = 'block')::INT) / count(*) >= {url_filter.CONFIDENCE} AND sum((said = 'block')::INT) / count(*) > (SELECT bad / n FROM bad)),
+best AS (SELECT page_id, max(confidence) AS confidence FROM subsets JOIN rules USING (need) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN confidence IS NULL THEN 'allow' ELSE 'block' END) AS verdict, confidence FROM told LEFT JOIN best USING (page_id)""",
     "op9_chat_format": f"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
