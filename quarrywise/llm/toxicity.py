@@ -1,8 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Besides a weight each term has a factor vector; the products of factors say how much two terms
-mean together, such as an insult with a group, which a sum of weights can't say. Terms are words and
-the beginnings of words, by 64-bit hash. The model is fitted to a bounded sample of labelled rows;
+mean together, such as an insult with a group, which a sum of weights can't say. Terms are words, the
+beginnings of words, and how often they occur, hashed to a fixed number of buckets. The model is fitted to a bounded sample of labelled rows;
 every row is scored, in one pass that broadcasts the model, whose size is bounded too.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, as_bytes, materialize, whole_text
 
-#: At most so many labelled rows are learned from: those of least hashed id. Part of the operator's interface.
-SAMPLE_ROWS = 20_000
-#: At most so many terms have weights: those in most rows of the sample, and in MIN_ROWS at least.
-TERMS, MIN_ROWS = 1 << 16, 8
-FACTORS, EPOCHS, BATCH, RATE, L1, L2, SEED = 4, 12, 256, 0.1, 3e-4, 1e-4, 7
+#: At most so many labelled rows are learned from, those of least hashed id, and so many of their buckets. Part of the operator's interface.
+SAMPLE_ROWS, SAMPLE_PLACES = 20_000, 20_000_000
+#: Terms are hashed to 2**BITS buckets; a term that occurs so often in a text has further buckets.
+BITS, OFTEN = 18, (2, 3, 5)
+#: Settings were chosen on a fold of the rows that may be learned from, not on the held-out ones. Passes over the sample are within EPOCHS, and enough for STEPS batches.
+FACTORS, EPOCHS, STEPS, BATCH, RATE, L1, L2, SEED = 8, (8, 30), 4000, 32, 0.05, 1e-3, 1e-4, 7
 #: Score from which a row is predicted toxic.
 THRESHOLD = 0.3
 #: So many texts are scored at a time.
@@ -32,6 +34,7 @@ SCORED = 500
 FOLDS, HELD = 4, 2
 
 #: ASCII other than letters and digits parts words.
+_ODD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
 _PARTS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in LOWER)
 
 
@@ -42,24 +45,23 @@ def held_out(doc_id) -> F.Column:
 class Terms(dict):
     """Word -> hashes of its terms: itself, and its first four and five letters if it is longer. Remembered up to a bound."""
 
-    def __init__(self, known: np.ndarray | None = None, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
-        self.places = None if known is None else {h: i for i, h in enumerate(known.tolist())}
         self.most = most
 
-    def __missing__(self, word: bytes) -> list[int]:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
         text = word.decode("utf-8", "ignore")
-        found = [xxhash.xxh64_intdigest(word), *(xxhash.xxh64_intdigest(str(n) + text[:n]) for n in (4, 5) if len(text) > n)]
-        if self.places is not None:
-            found = [self.places[h] for h in found if h in self.places]
-        self[word] = found
+        found = self[word] = (xxhash.xxh64_intdigest(word), *(xxhash.xxh64_intdigest(str(n) + text[:n]) for n in (4, 5) if len(text) > n))
         return found
 
     def of(self, text: bytes) -> np.ndarray:
-        """Distinct terms of a text: hashes, or places in known."""
-        return np.array(sorted({t for w in set(text.translate(_PARTS).split()) for t in self[w]}), np.uint64 if self.places is None else np.int64)
+        """Places of a text's terms, ascending: the bucket of a term, and a bucket of its own for each of OFTEN that its count reaches."""
+        hashes = np.fromiter(chain.from_iterable(map(self.__getitem__, text.translate(_PARTS).split())), np.uint64)
+        terms, counts = np.unique(hashes, return_counts=True)
+        found = [terms, *(terms[counts >= n] * _ODD + np.uint64(n) for n in OFTEN)]
+        return np.unique((np.concatenate(found) * _ODD >> _SHIFT).astype(np.int32))
 
 
 def _segments(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -73,9 +75,8 @@ def _segments(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.
 
 @dataclass
 class Machine:
-    """score = sigmoid(bias + sum of weights + sum over pairs of terms of the product of their factors); a term counts once in a text."""
+    """score = sigmoid(bias + sum of weights + sum over pairs of buckets of the product of their factors); a bucket counts once in a text."""
 
-    terms: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
@@ -87,26 +88,29 @@ class Machine:
         pairs = 0.5 * (total**2 - _segments(v * v, starts, counts)).sum(1)
         return self.bias + _segments(self.weights[idx], starts, counts) + pairs, total
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Scores of texts, given the places of their terms. Factors are gathered for SCORED texts at a time, whatever the size of a batch."""
-        out = np.zeros(len(rows))
-        for at in range(0, len(rows), SCORED):
-            block = rows[at : at + SCORED]
+    def scores(self, texts: list[bytes], terms: Terms) -> np.ndarray:
+        """Scores of texts, SCORED at a time whatever the size of a batch."""
+        out = np.zeros(len(texts))
+        for at in range(0, len(texts), SCORED):
+            block = [terms.of(t) for t in texts[at : at + SCORED]]
             z, _ = self.raw(np.concatenate(block), np.array([len(r) for r in block], np.int64))
             out[at : at + SCORED] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
 
-def fit_machine(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """AdaGrad on batches of rows; weights shrink towards zero by L1, so that terms that say nothing say exactly nothing in texts of any length."""
-    rng, n = np.random.default_rng(SEED), max(1, len(terms))
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
+    """AdaGrad on small batches of rows, with more passes over fewer rows; weights shrink towards zero by L1, so that buckets that say nothing say exactly nothing in texts of any length. The machine is the mean of those after the later passes."""
+    rng, n = np.random.default_rng(SEED), 1 << BITS
     prior = (labels.sum() + 0.5) / (len(labels) + 1)
-    m = Machine(terms, float(np.log(prior / (1 - prior))), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)))
+    m = Machine(float(np.log(prior / (1 - prior))), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)))
     squares, v_squares, b_square = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
     if not len(labels) or labels.min() == labels.max():
         m.factors[:] = 0
         return m
-    for _ in range(EPOCHS):
+    fewest, most = EPOCHS
+    passes = min(most, max(fewest, -(-STEPS * BATCH // len(rows))))
+    mean = Machine(0.0, np.zeros_like(m.weights), np.zeros_like(m.factors))
+    for k in range(passes):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
@@ -127,40 +131,37 @@ def fit_machine(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -
             m.factors[used] -= 0.3 * RATE * gv / np.sqrt(v_squares[used])
             b_square += g.sum() ** 2
             m.bias -= RATE * g.sum() / np.sqrt(b_square)
-    return m
+        if k >= passes // 2:
+            share = 1 / (passes - passes // 2)
+            mean.bias += share * m.bias
+            mean.weights += share * m.weights
+            mean.factors += share * m.factors
+    return mean
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    terms = Terms()
-    for b in batches:
-        found = [terms.of(t).view(np.int64) for t in as_bytes(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(2), pa.array(found, pa.list_(pa.int64()))], ["label", "terms"])
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """A machine fitted to at most sample_rows labelled rows of docs (doc_id, text) that aren't held out. labels: doc_id, label 0 or 1."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_places: int = SAMPLE_PLACES) -> Machine:
+    """A machine fitted to at most sample_rows labelled rows of docs (doc_id, text) that aren't held out, and to no more of them than have sample_places buckets together. labels: doc_id, label 0 or 1."""
     given = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).where(~held_out(F.col("doc_id")))
     # Labelled documents that are here, by the order of a hash; the sample's bound is also the broadcast's.
     here = given.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    sample = here.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = materialize(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(_hashed, "label int, terms array<long>"))
-    counted = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS)
-    top = counted.orderBy(F.desc("n"), "term").limit(TERMS).select("term").toPandas()
-    known = np.sort(top["term"].to_numpy(np.int64).view(np.uint64))
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = here.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_rows)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
         for b in batches:
-            out = []
-            for terms in b.column(1):
-                h = np.asarray(terms.values).view(np.uint64)
-                at = np.minimum(np.searchsorted(sent.value, h), max(0, len(sent.value) - 1))
-                out.append(at[sent.value[at] == h].astype(np.int32) if len(sent.value) else at[:0].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["label", "places"])
+            places = [terms.of(t).tobytes() for t in as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(places, pa.binary())], ["label", "h", "doc_id", "places"])
 
-    got = rows.mapInArrow(placed, "label int, places array<int>").toArrow()
-    places = [np.asarray(x.values).astype(np.int64) for x in got.column("places").combine_chunks()] if got.num_rows else []
-    return fit_machine(known, places, got.column("label").to_numpy().astype(float))
+    found = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", "h", F.col("doc_id").alias("d"))
+    rows = materialize(found.mapInArrow(hashed, "label int, h long, doc_id long, places binary"))
+    places, said, held = [], [], 0
+    for r in rows.orderBy("h", "doc_id", "places").toLocalIterator():
+        places.append(np.frombuffer(bytes(r.places), np.int32))
+        said.append(r.label)
+        held += len(places[-1])
+        if held >= sample_places:
+            break
+    return fit_machine(places, np.array(said, float))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -176,10 +177,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        terms = Terms(m.terms)
+        m, terms = sent.value, Terms()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.scores([terms.of(t) for t in as_bytes(b.column(1))]))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.scores(as_bytes(b.column(1)), terms))], ["doc_id", "score"])
 
     rows = own.mapInArrow(score, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -192,9 +192,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        terms = Terms(m.terms)
+        m, terms = sent.value, Terms()
         for b in batches:
-            yield b.filter(pa.array(m.scores([terms.of(t) for t in as_bytes(b.column(at))]) < THRESHOLD))
+            yield b.filter(pa.array(m.scores(as_bytes(b.column(at)), terms) < THRESHOLD))
 
     return docs.mapInArrow(clean, docs.schema)
