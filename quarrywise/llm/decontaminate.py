@@ -2,7 +2,8 @@
 
 A text is scanned once, word by word, and every hit is mapped back to its place in the original.
 Only the benchmark is broadcast. Its size is checked: past PART_BYTES of text the items go to
-further automata, each scanned in the same task without a shuffle, so that no size is refused.
+further automata, scanned in the same task without a shuffle; past PARTS automata they are broadcast
+in turn, a group at a time, so that no size is refused and none fills the workers.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, whole_text
+from .common import as_bytes, materialize, with_row
 
 #: Words in a window, and a twentieth of the words hit makes a text contaminated.
 WINDOW, SHARE = 13, 20
-#: Benchmark text that one automaton takes.
-PART_BYTES = 4 << 20
+#: Benchmark text that one automaton takes, and automata that a worker holds at once.
+PART_BYTES, PARTS = 4 << 20, 8
 
 #: A-Z to a-z; 00-2F, 3A-60 and 7B-7F (after lowering) to a space; digits, a-z and all bytes of non-ASCII characters stay. Byte for byte, so offsets stay too.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -87,19 +89,54 @@ def _spans(text: bytes, covered: np.ndarray) -> list[dict]:
     return out
 
 
-def _sent(docs: DataFrame, benchmark: DataFrame) -> list:
-    """The items, broadcast in parts of PART_BYTES at most. Null items and ids are left out."""
+def _groups(benchmark: DataFrame) -> Iterator[list[list[tuple[str, bytes]]]]:
+    """The items in parts of PART_BYTES at most, PARTS parts at a time; the driver holds one such group. Null items and ids are left out."""
     parts: list[list[tuple[str, bytes]]] = [[]]
     filled = 0
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null and i is not null")
     for r in items.toLocalIterator():
         text = r.t.encode()
         if filled and filled + len(text) > PART_BYTES:
+            if len(parts) == PARTS:
+                yield parts
+                parts = []
             parts.append([])
             filled = 0
         parts[-1].append((r.i, text))
         filled += len(text)
-    return [docs.sparkSession.sparkContext.broadcast(p) for p in parts]
+    yield parts
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, text_col: str, width: int) -> tuple[list, DataFrame | None]:
+    """(broadcasts, None) if the items are one group, which is scanned where texts are used. Else ([], hits): each group is broadcast in turn, all texts are scanned with it, and only texts with hits are written.
+
+    hits: text_sha256, hits array<struct<a,b>>, item_ids array<string>; what is in a text depends on the text alone.
+    """
+    sc, groups = docs.sparkSession.sparkContext, _groups(benchmark)
+    group, after = next(groups), next(groups, None)
+    if after is None:
+        return [sc.broadcast(p) for p in group], None
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).select(F.sha2("text", 256).alias("text_sha256"), "text")
+    found = None
+    while group is not None:
+        sent = [sc.broadcast(p) for p in group]
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            scanners = [_scanner(b, width) for b in sent]
+            for batch in batches:
+                rows = [(key, hits) for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))) if (hits := _found(text, scanners)[1])]
+                spans = [[{"a": a, "b": b} for a, b in sorted({h[:2] for h in hits})] for _, hits in rows]
+                ids = [sorted({i for h in hits for i in h[2]}) for _, hits in rows]
+                kinds = (pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([k for k, _ in rows], spans, ids), kinds)], ["text_sha256", "hits", "item_ids"])
+
+        part = materialize(texts.mapInArrow(scan, "text_sha256 string, hits array<struct<a:long,b:long>>, item_ids array<string>").dropDuplicates(["text_sha256"]))
+        found = part if found is None else found.unionByName(part)
+        for b in sent:
+            b.destroy()
+        group, after = after, next(groups, None)
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    return [], materialize(found.groupBy("text_sha256").agg(gathered("hits").alias("hits"), gathered("item_ids").alias("item_ids")))
 
 
 def _found(text: bytes, scanners: list[Scanner]) -> tuple[list[bytes], list, np.ndarray | None]:
@@ -117,33 +154,57 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows. Repeated items count once. item_ids are sorted as strings; spans are character offsets
     in the original text. Any other column of docs is left out, so that no name clashes.
     """
-    sent = _sent(docs, benchmark)
+    sent, hits = _hits(docs, benchmark, text_col, width)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    if hits is not None:
+        rows = rows.join(hits, F.sha2("text", 256) == F.col("text_sha256"), "left").select("doc_id", "text", "hits", "item_ids")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = [_scanner(b, width) for b in sent]
         for batch in batches:
             n_words, n_hit, ids, spans = [], [], [], []
-            for text in as_bytes(batch.column(1)):
-                words, hits, covered = _found(text, scanners)
+            known = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if batch.num_columns > 2 else repeat(None)
+            for text, given in zip(as_bytes(batch.column(1)), known):
+                if given is None:
+                    words, found, covered = _found(text, scanners)
+                    items = sorted({i for h in found for i in h[2]})
+                else:
+                    words, items = words_of(text), sorted(given[1] or ())
+                    covered = _covered([(h["a"], h["b"], ()) for h in given[0] or ()], len(words))
                 n_words.append(len(words))
-                n_hit.append(int(covered.sum()) if hits else 0)
-                ids.append(sorted({i for h in hits for i in h[2]}))
-                spans.append(_spans(text, covered) if hits else [])
+                n_hit.append(int(covered.sum()) if items else 0)
+                ids.append(items)
+                spans.append(_spans(text, covered) if items else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    rows = whole_text(docs, id_col, text_col).mapInArrow(scan, _SCHEMA)
-    return rows.select(
+    return rows.mapInArrow(scan, _SCHEMA).select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "item_ids", "spans",
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows of docs that decontaminate finds clean, with docs' own columns, filtered where they are read."""
-    sent, at = _sent(docs, benchmark), docs.columns.index(text_col)
+    """The rows of docs that decontaminate finds clean, with docs' own columns, whatever their names. Items of one group are looked for where texts are read; those of many are found first, and contaminated texts leave by an anti-join."""
+    sent, hits = _hits(docs, benchmark, text_col, width)
+    if hits is not None:
+        rows = with_row(docs, text=F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumn("text_sha256", F.sha2("text", 256))
+
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = []
+                for key, text, spans in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                    n = len(words_of(text))
+                    if share * int(_covered([(h["a"], h["b"], ()) for h in spans], n).sum()) >= n:
+                        keys.append(key)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["text_sha256"])
+
+        bad = materialize(rows.join(hits, "text_sha256").select("text_sha256", "text", "hits").mapInArrow(judged, "text_sha256 string").distinct())
+        return rows.join(bad, "text_sha256", "left_anti").select("row.*")
+
+    at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = [_scanner(b, width) for b in sent]
@@ -164,7 +225,7 @@ def _scanner(sent, width: int) -> Scanner:
     """One automaton for each worker process, not for each task. The items are held, so that their id stays theirs."""
     items = sent.value
     if id(items) not in _built:
-        if len(_built) >= 8:
+        if len(_built) >= PARTS:
             _built.clear()
         _built[id(items)] = (items, Scanner(items, width))
     return _built[id(items)][1]
