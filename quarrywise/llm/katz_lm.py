@@ -124,7 +124,8 @@ class Chunk:
 
 def _edges(buckets: int) -> np.ndarray:
     """The least hash of each bucket."""
-    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    step = np.uint64((1 << 64) // buckets) if buckets > 1 else np.uint64(0)
+    return np.arange(buckets, dtype=np.uint64) * step
 
 
 def _bounds(keys: np.ndarray, buckets: int) -> list[int]:
@@ -181,9 +182,8 @@ class Katz:
                 counts, at = c.counts(order), _bounds(keys, buckets)
                 if order == 1:  # the beginning is told from words by a count under zero
                     counts[c.begin_at] = -1 - counts[c.begin_at]
-                for b in range(buckets):
-                    if at[b] < at[b + 1]:
-                        rows.append((order, b, chunk, keys[at[b] : at[b + 1]].tobytes(), _packed(counts[at[b] : at[b + 1]].astype("<i8"))))
+                for b in np.flatnonzero(np.diff(at)).tolist():
+                    rows.append((order, b, chunk, keys[at[b] : at[b + 1]].tobytes(), _packed(counts[at[b] : at[b + 1]].astype("<i8"))))
             return _table(rows, [*_INTS, ("keys", pa.binary()), ("counts", pa.binary())])
 
         def add(table: pa.Table) -> pa.Table:

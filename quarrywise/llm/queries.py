@@ -144,4 +144,32 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
        bool_and(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') WHEN 'assistant' THEN before = 'user' ELSE false END)
        AND last(role ORDER BY turn NULLS FIRST, role, text) = 'assistant' AS valid
 FROM formed GROUP BY conv_id""",
+    "op10_lm_scoring": f"""
+WITH steps AS (SELECT list(list_reduce([n, 1, 2, 3, 4, 5, 6, 7, 8], lambda t, k: CASE WHEN t % 2 = 1 THEN xor(t // 2, 3988292384::BIGINT) ELSE t // 2 END) ORDER BY n) AS t FROM range(256) AS r(n)),
+crcs AS (
+    SELECT doc_id, text, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS crc
+    FROM documents, steps),
+d AS (SELECT doc_id, crc % {katz_lm.FOLDS} = {katz_lm.HELD} AS held_out, list_append(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+'), ' end') AS w FROM crcs),
+tok AS MATERIALIZED (SELECT doc_id, held_out, i, CASE WHEN i = 1 THEN ' begin' ELSE w[i - 1] END AS v, w[i] AS w FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+uni AS MATERIALIZED (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
+bi AS MATERIALIZED (SELECT v, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY v, w),
+n AS (SELECT sum(c)::BIGINT AS tokens, count(*) AS types FROM uni),
+rs AS (SELECT ord, r, (SELECT count(*) FROM uni WHERE c = r) * (ord = 1)::INT + (SELECT count(*) FROM bi WHERE c = r) * (ord = 2)::INT AS n FROM range(1, 9) AS a(r), range(1, 3) AS b(ord)),
+common AS (SELECT ord, {katz_lm.DISCOUNTED + 1} * max(n) FILTER (r = {katz_lm.DISCOUNTED + 1}) / nullif(max(n) FILTER (r = 1), 0) AS k FROM rs GROUP BY ord),
+good AS (
+    SELECT a.ord, a.r, a.n, CASE WHEN a.n > 0 AND k < 1 THEN ((a.r + 1) * b.n / (a.r * a.n) - k) / (1 - k) END AS g
+    FROM rs a JOIN rs b ON b.ord = a.ord AND b.r = a.r + 1 JOIN common ON common.ord = a.ord WHERE a.r <= {katz_lm.DISCOUNTED}),
+disc AS (SELECT ord, r, n, CASE WHEN g > 0 AND g <= 1 THEN g ELSE (r - 0.5) / r END AS d FROM good),
+lost AS (SELECT sum((1 - d) * r * n) AS lost FROM disc WHERE ord = 1),
+word AS (SELECT w, c, c * coalesce(d, 1) / (tokens + (lost <= 0)::INT) AS p FROM uni JOIN n ON true JOIN lost ON true LEFT JOIN disc ON ord = 1 AND r = c),
+pair AS (SELECT v, w, bi.c, bi.c * coalesce(d, 1) AS cut, p FROM bi JOIN word USING (w) LEFT JOIN disc ON ord = 2 AND r = bi.c),
+context AS (SELECT v, sum(c) AS n, sum(cut) AS mass, sum(p) AS low FROM pair GROUP BY v),
+bow AS (SELECT v, n + (mass >= n - 1e-9)::INT AS whole, log10((1 - mass / (n + (mass >= n - 1e-9)::INT)) / (1 - low)) AS log_bow FROM context),
+scored AS (
+    SELECT tok.doc_id, tok.held_out, word.c, log10((coalesce(word.c, 0) + 1) / (tokens + types + 1)) AS base,
+           CASE WHEN pair.cut IS NOT NULL THEN log10(pair.cut / whole)
+                ELSE coalesce(log_bow, 0) + log10(coalesce(word.p, CASE WHEN lost > 0 THEN lost ELSE 1 END / (tokens + (lost <= 0)::INT))) END AS score
+    FROM tok JOIN n ON true JOIN lost ON true LEFT JOIN word ON word.w = tok.w LEFT JOIN pair ON pair.v = tok.v AND pair.w = tok.w LEFT JOIN bow ON bow.v = tok.v)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, (SELECT tokens FROM n) AS train_tokens, sum(base) AS base_score, sum(score) AS score
+FROM scored GROUP BY doc_id, held_out""",
 }
