@@ -9,6 +9,7 @@ from .functions import isbn, markdown, reading, strings
 from .functions.strings import text
 from .operators import chunks, cleaning, exports, extract, library, search
 from .plans import answers, evidence
+from .sources.tables import materialize, read_table, spread
 
 FLAGSHIP = "answer_passages"
 
@@ -27,14 +28,19 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the documents, written once as an index is, for queries that read them several times."""
+    return materialize(chunks.chunk_documents(documents(spark, sf_dir)))
 
 
 # Documents stand for book bodies, parts for catalogue records.
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     name = F.col("doc_id").cast("string")
     return d.select(F.col("doc_id").alias("book_id"), F.concat(F.lit("Document "), name).alias("title"), F.col("lang").alias("author"), F.concat("source", F.lit("/"), name).alias("source_path"), "text")
 
@@ -255,15 +261,30 @@ def document_concepts(spark, sf_dir):
 _READING = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g'), '!\\[[^\\]]*\\]\\([^\\)]*\\)', ' ', 'g'), '\\[([^\\]]+)\\]\\([^\\)]*\\)', ' ', 'g'), '(?m)^#{1,6}\\s+', '', 'g'), '[*_>#\\-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
+def _list(terms: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in terms) + "]"
+
+
+def _has(x: str, terms: tuple[str, ...]) -> str:
+    return f"len(list_filter({_list(terms)}, lambda t: contains({x}, t))) > 0"
+
+
 @query(f"""
-WITH p AS (SELECT doc_id AS book_id, {_READING} AS plain, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{{1,6}}\\s+'))::BIGINT AS n_headings FROM documents)
-SELECT book_id, n_words, n_headings, CASE WHEN n_words > 0 THEN greatest(1, round_even(n_words / 275, 0)) ELSE 0 END::BIGINT AS pages,
-       CASE WHEN n_headings > 80 OR n_headings / greatest(n_words / 10000, 1) > 14 THEN 'skim_then_search' ELSE 'cover_to_cover' END AS best_read_as
-FROM (SELECT *, len(regexp_extract_all(plain, '{_WORD}'))::BIGINT AS n_words FROM p)""")
+WITH p AS MATERIALIZED (SELECT doc_id AS book_id, lower('Document ' || doc_id || ' ' || source || '/' || doc_id) AS about, {_READING} AS plain, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{{1,6}}\\s+'))::BIGINT AS n_headings FROM documents),
+s AS (SELECT book_id, unnest(string_split(regexp_replace(plain, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM p),
+m AS (SELECT book_id, round_even(avg(n), 1) AS sentence_words FROM (SELECT book_id, len(regexp_extract_all(sentence, '{_WORD}')) AS n FROM s) WHERE n > 0 GROUP BY book_id),
+n AS (SELECT *, len(regexp_extract_all(plain, '{_WORD}'))::BIGINT AS n_words FROM p LEFT JOIN (SELECT * FROM m) USING (book_id)),
+r AS (SELECT * REPLACE (coalesce(sentence_words, 0.0)::DOUBLE AS sentence_words), n_headings / greatest(n_words / 10000, 1) AS ratio FROM n),
+d AS (SELECT *, CASE WHEN sentence_words >= 28 OR (n_words > 90000 AND ratio < 5) THEN 'dense' WHEN sentence_words <= 18 AND ratio >= 8 THEN 'light' ELSE 'medium' END AS density FROM r)
+SELECT book_id, n_words, n_headings, sentence_words, CASE WHEN n_words > 0 THEN greatest(1, round_even(n_words / 275, 0)) ELSE 0 END::BIGINT AS pages, round_even(n_words / 15000, 1)::DOUBLE AS hours, density,
+       CASE WHEN {_has("about", reading.BEGINNER)} THEN 'beginner' WHEN {_has("about", reading.ADVANCED)} THEN 'advanced' WHEN density = 'dense' OR sentence_words >= 30 THEN 'advanced'
+            WHEN density = 'light' AND sentence_words <= 18 THEN 'beginner' ELSE 'intermediate' END AS difficulty,
+       CASE WHEN {_has("about", reading.REFERENCE)} THEN 'reference' WHEN n_headings > 80 OR ratio > 14 THEN 'skim_then_search' ELSE 'cover_to_cover' END AS best_read_as
+FROM d""")
 def reading_metadata(spark, sf_dir):
-    """Words, pages and how to read each document."""
-    rows = documents(spark, sf_dir).select("book_id", reading.reading_metadata(F.col("text"), F.col("title")).alias("m"))
-    return rows.select("book_id", "m.n_words", "m.n_headings", "m.pages", "m.best_read_as")
+    """Words, sentences, pages, hours, density, difficulty and how to read each document."""
+    about = F.concat_ws(" ", "title", "source_path")
+    return reading.with_reading_metadata(documents(spark, sf_dir), "text", about).select("book_id", "n_words", "n_headings", "sentence_words", "pages", "hours", "density", "difficulty", "best_read_as")
 
 
 TOPIC = "goals and systems"
@@ -362,7 +383,7 @@ SELECT query_id, rank, score, chunk_id, citation, CASE WHEN length(text) > 700 T
 FROM h JOIN c ON c.chunk_id = h.id""")
 def answer_passages(spark, sf_dir):
     """The flagship: documents in chunks, the best for each benchmark item, with excerpts, citations and context."""
-    return answers.answer_passages(chunks.chunk_documents(documents(spark, sf_dir)), asked(spark, sf_dir))
+    return answers.answer_passages(indexed(spark, sf_dir), asked(spark, sf_dir))
 
 
 # --- books
@@ -585,7 +606,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, book_id)
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q = asked(spark, sf_dir)
     whole = search.keyword_search(table(spark, sf_dir, "documents"), q, "doc_id", "text", 12).withColumnRenamed("id", "book_id")
-    parts = search.keyword_search(chunks.chunk_documents(documents(spark, sf_dir)), q, "chunk_id", "text", 12)
+    parts = search.keyword_search(indexed(spark, sf_dir), q, "chunk_id", "text", 12)
     return whole, parts.withColumn("book_id", F.substring_index("id", "_", 1).cast("long"))
 
 

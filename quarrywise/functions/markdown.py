@@ -53,8 +53,12 @@ class Profile:
 EPUB = Profile()
 LIGHT = replace(EPUB, images=False, links=False, tags=False, pre_content=False, headings=False)
 
-#: How deep spans may be nested.
-SPAN_DEPTH = 4
+
+def without_spans(x: Column) -> Column:
+    """Spans become their words, however deep they are nested: a pass takes the innermost ones, and there are as many passes as brackets are open at once at most."""
+    open_now = lambda acc, b: F.struct(F.greatest(F.lit(0), acc["n"] + F.when(b == "[", 1).otherwise(-1)).alias("n"), F.greatest(acc["most"], acc["n"] + F.when(b == "[", 1).otherwise(-1)).alias("most"))
+    depth = F.aggregate(F.regexp_extract_all(x, F.lit(r"[\[\]]"), F.lit(0)), F.struct(F.lit(0).alias("n"), F.lit(0).alias("most")), open_now)["most"]
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), depth)), x, lambda a, _: F.when(a.rlike(SPAN), F.regexp_replace(a, SPAN, "$1")).otherwise(a))
 
 
 def front_matter(raw: Column) -> tuple[Column, Column]:
@@ -66,8 +70,10 @@ def front_matter(raw: Column) -> tuple[Column, Column]:
 def without_noise(x: Column, p: Profile = EPUB) -> Column:
     """Images, anchors, fences, attributes, tags and the like go, in this order."""
     steps = [(p.svg, SVG_FENCE, "\n"), (p.svg, SVG, "\n"), (p.images, IMAGE, ""), (p.anchors, EMPTY_ANCHOR, ""), (p.fences, DIV_FENCE, "")]
-    steps += [(p.spans, SPAN, "$1")] * SPAN_DEPTH
-    steps += [(p.footnotes, FOOTNOTE, "$1"), (p.links, LINK, "$1"), (p.attributes, RAW_FORMAT, ""), (p.tags, TAG, ""), (p.rules, RULE, ""), (p.ids, GENERATED_ID, ""), (p.quotes, QUOTE, "")]
+    for wanted, pattern, by in steps:
+        x = F.regexp_replace(x, pattern, by) if wanted else x
+    x = without_spans(x) if p.spans else x
+    steps = [(p.footnotes, FOOTNOTE, "$1"), (p.links, LINK, "$1"), (p.attributes, RAW_FORMAT, ""), (p.tags, TAG, ""), (p.rules, RULE, ""), (p.ids, GENERATED_ID, ""), (p.quotes, QUOTE, "")]
     for wanted, pattern, by in steps:
         x = F.regexp_replace(x, pattern, by) if wanted else x
     return x

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .markdown import reading_plain
@@ -48,12 +48,15 @@ def best_read_as(about: Column, n_headings: Column, n_words: Column) -> Column:
     return F.when(contains_any(F.lower(text(about)), REFERENCE), "reference").when((n_headings > 80) | (ratio > 14), "skim_then_search").otherwise("cover_to_cover")
 
 
-def reading_metadata(body: Column, about: Column) -> Column:
-    """struct of words, headings, mean sentence length, pages, hours, density, difficulty and best_read_as."""
-    plain = reading_plain(body)
-    n, h, mean = words(plain), headings(body), sentence_words(plain)
-    dense = density(n, mean, h)
-    return F.struct(
-        n.alias("n_words"), h.alias("n_headings"), mean.alias("sentence_words"), F.when(n > 0, F.greatest(F.lit(1), F.bround(n / 275))).otherwise(0).cast("long").alias("pages"),
-        F.bround(n / 15000, 1).alias("hours"), dense.alias("density"), difficulty(about, dense, mean).alias("difficulty"), best_read_as(about, h, n).alias("best_read_as"),
+def with_reading_metadata(df: DataFrame, body: str, about: Column) -> DataFrame:
+    """df with n_words, n_headings, sentence_words, pages, hours, density, difficulty and best_read_as of the text in `body`; about: its title and topics. The plain text and the counts are columns of their own, so that each is found once."""
+    rows = df.withColumn("__plain", reading_plain(F.col(body)))
+    rows = rows.withColumns({"n_words": words(F.col("__plain")), "n_headings": headings(F.col(body)), "sentence_words": sentence_words(F.col("__plain"))}).drop("__plain")
+    n, h, mean = F.col("n_words"), F.col("n_headings"), F.col("sentence_words")
+    rows = rows.withColumn("density", density(n, mean, h))
+    return rows.withColumns(
+        {
+            "pages": F.when(n > 0, F.greatest(F.lit(1), F.bround(n / 275))).otherwise(0).cast("long"), "hours": F.bround(n / 15000, 1),
+            "difficulty": difficulty(about, F.col("density"), mean), "best_read_as": best_read_as(about, h, n),
+        }
     )

@@ -40,7 +40,9 @@ def with_sections(df: DataFrame, body: str, out: str = "sections") -> DataFrame:
         lambda m: F.struct(F.length(F.regexp_extract(m["line"], form, 1)).alias("level"), clean_title(F.regexp_extract(m["line"], form, 2)).alias("title"), m["line"].alias("line"), m["at"].alias("at")),
     )
     marks, lines, raw = F.col("__marks"), F.col("__lines"), F.col("__raw")
-    stacks = F.transform(marks, lambda m, j: F.aggregate(F.slice(marks, F.lit(1), j + 1), F.array().cast(_STACK), push))
+    # One fold carries the stack and hands it on, so that no heading looks at all before it again.
+    grown = lambda acc, m: F.transform(F.array(push(acc["stack"], m)), lambda s: F.struct(s.alias("stack"), F.concat(acc["all"], F.array(s)).alias("all")))[0]
+    stacks = F.aggregate(marks, F.struct(F.array().cast(_STACK).alias("stack"), F.array().cast(f"array<{_STACK}>").alias("all")), grown)["all"]
 
     def section(m: Column, j: Column) -> Column:
         stack = F.col("__stacks")[j]
@@ -69,19 +71,29 @@ def with_sections(df: DataFrame, body: str, out: str = "sections") -> DataFrame:
 
 
 def pieces(section_text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """array<struct<text, start, end>>: windows of target characters that overlap, stripped; blank ones are left out."""
+    """array<struct<text, start, end, start_line, end_line>>: windows of target characters that overlap, stripped; blank ones are left out.
+
+    Lines are counted from 1 within the text. The line in which each window begins comes from one fold
+    over the steps between windows, so that no window counts all lines before it again.
+    """
     target = max(1, target)
     step = target - max(0, min(overlap, target - 1))
     n = F.length(section_text)
     count = F.greatest(F.lit(1), F.ceil((n - (target - step)) / F.lit(step)).cast("int"))
 
-    def piece(i: Column) -> Column:
+    ends = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("long")
+    at = F.sequence(F.lit(0), count - 1)
+    passed = lambda acc, i: F.struct((acc["line"] + ends(F.substr(section_text, i * step + 1, F.lit(step)))).alias("line"), F.concat(acc["all"], F.array(acc["line"])).alias("all"))
+    lines = F.aggregate(at, F.struct(F.lit(1).cast("long").alias("line"), F.array().cast("array<bigint>").alias("all")), passed)["all"]
+
+    def piece(i: Column, line: Column) -> Column:
         raw = F.substr(section_text, i * step + 1, F.lit(target))
         bare = F.when(count == 1, raw).otherwise(stripped(raw))
         start = i * step + F.when(count == 1, 0).otherwise(F.length(F.regexp_extract(raw, r"(?U)\A\s*", 0)))
-        return F.struct(bare.alias("text"), start.alias("start"), (start + F.length(bare)).alias("end"))
+        before = line + ends(F.left(raw, start - i * step))
+        return F.struct(bare.alias("text"), start.alias("start"), (start + F.length(bare)).alias("end"), before.alias("start_line"), (before + ends(bare)).alias("end_line"))
 
-    return F.filter(F.transform(F.sequence(F.lit(0), count - 1), piece), lambda p: p["text"] != "")
+    return F.filter(F.zip_with(at, lines, piece), lambda p: p["text"] != "")
 
 
 def chunk_documents(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
@@ -91,8 +103,7 @@ def chunk_documents(docs: DataFrame, target: int = TARGET, overlap: int = OVERLA
     rows = rows.select("book_id", "title", "author", "source_path", "n", F.posexplode("c").alias("i", "c"))
     name = lambda i: F.concat(F.col("book_id").cast("string"), F.lit("_"), F.lpad(i.cast("string"), 6, "0"))
     s, p = F.col("c.section"), F.col("c.piece")
-    first = s["start_line"] + line_of(s["text"], p["start"]) - 1
-    last = s["start_line"] + line_of(s["text"], p["end"]) - 1
+    first, last = s["start_line"] + p["start_line"] - 1, s["start_line"] + p["end_line"] - 1
     rows = rows.select(
         "book_id", "title", "author", "source_path", F.col("i").cast("long").alias("chunk_index"), name(F.col("i")).alias("chunk_id"),
         F.when(F.col("i") > 0, name(F.col("i") - 1)).alias("previous_chunk_id"), F.when(F.col("i") + 1 < F.col("n"), name(F.col("i") + 1)).alias("next_chunk_id"),

@@ -150,21 +150,22 @@ def first_paragraph(body: Column, chars: int = 700) -> Column:
     return F.rtrim(F.left(F.coalesce(F.try_element_at(good, F.lit(1)), summary_plain(body)), F.lit(chars)))
 
 
-def topic_stance(topic: str, said: Column) -> tuple[Column, Column]:
-    """(stance, score) of a text towards a topic, by terms that favour and terms that criticise."""
-    low = normal(said)
+def with_topic_stance(df: DataFrame, topic: str, said: str) -> DataFrame:
+    """df with the stance and score of the text in `said` towards a topic, by terms that favour and terms that criticise. The normal text and the counts are columns of their own, so that each is found once."""
+    low = F.col("__low")
     about = tuple(dict.fromkeys(t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in topic.lower()).split() if len(t) > 2))
-    hits, fav = count_contained(low, about), count_contained(low, FAVOUR)
-    crit = count_contained(low, CRITIQUE) + contains_any(low, ("rather than", "instead of", "versus")).cast("int")
-    name = F.when(fav > crit + 1, "favouring").when(crit > fav + 1, "criticising").when((fav > 0) & (crit > 0), "mixed").otherwise("neutral")
+    rows = df.withColumn("__low", normal(F.col(said)))
+    counted = {"__hits": count_contained(low, about), "__fav": count_contained(low, FAVOUR), "__crit": count_contained(low, CRITIQUE) + contains_any(low, ("rather than", "instead of", "versus")).cast("int")}
+    rows = rows.withColumns(counted).drop("__low")
+    hits, fav, crit, name = F.col("__hits"), F.col("__fav"), F.col("__crit"), F.col("stance")
+    rows = rows.withColumn("stance", F.when(fav > crit + 1, "favouring").when(crit > fav + 1, "criticising").when((fav > 0) & (crit > 0), "mixed").otherwise("neutral"))
     score = hits + F.when(name == "favouring", fav).when(name == "criticising", crit).when(name == "mixed", fav + crit).otherwise(0)
-    return name, score
+    return rows.withColumn("score", score).drop("__hits", "__fav", "__crit")
 
 
 def compare_topic(topic: str, evidence: DataFrame) -> DataFrame:
     """evidence (book_id, text, bonus): the stance of each book with the largest sum of scores, each at least 1; ties by name."""
-    name, score = topic_stance(topic, F.col("text"))
-    rows = evidence.select("book_id", name.alias("stance"), (F.greatest(score, F.lit(1)) + F.col("bonus")).cast("long").alias("s"))
+    rows = with_topic_stance(evidence, topic, "text").select("book_id", "stance", (F.greatest("score", F.lit(1)) + F.col("bonus")).cast("long").alias("s"))
     sums = rows.groupBy("book_id", "stance").agg(F.sum("s").alias("score"), F.count("*").alias("n_texts"))
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("score"), "stance"))
     return sums.withColumn("r", rank).where("r = 1").drop("r")

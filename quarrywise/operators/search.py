@@ -21,18 +21,23 @@ def terms(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, dl): how often a row has a term, and how many terms it has."""
+def n_terms(x: Column) -> Column:
+    return F.regexp_count(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"))
+
+
+def postings(rows: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl): how often a row has a term, and how many terms it has; of the terms of `wanted` (term) alone, if given, the others leaving before anything is counted or shuffled."""
     t = rows.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
-    return t.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    found = t.select("id", "dl", F.explode("t").alias("term"))
+    found = found if wanted is None else found.join(wanted, "term", "left_semi")
+    return found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def keyword_search(rows: DataFrame, queries: DataFrame, id_col: str, text_col: str, limit: int = 10) -> DataFrame:
     """(query_id, id, score, rank) by BM25 for queries (query_id, text). Only terms that a query has are counted; ties go to the lesser id."""
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    post = postings(rows, id_col, text_col)
-    size = rows.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text_col)))).alias("mean"))
-    wanted = post.join(asked.select("term").distinct(), "term")
+    wanted = postings(rows, id_col, text_col, broadcast_if_small(asked.select("term").distinct()))
+    size = rows.agg(F.count("*").alias("n"), F.avg(n_terms(F.col(text_col))).alias("mean"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(size)).select("term", "mean", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
