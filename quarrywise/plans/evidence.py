@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.extract import keyword_score
-from ..operators.search import broadcast_if_small
+from ..operators.knowledge import term_hits
 
 #: Fixed: what a hit in a summary and in a chunk is worth, and a search hit in a reading list.
 SUMMARY, CHUNK, SEARCH = 1.25, 0.75, 3.0
@@ -34,8 +33,7 @@ def reading_list(hits: DataFrame, mapped: DataFrame, limit: int = 8) -> DataFram
 
 
 def passage_search(passages: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """passages (id, text) for each query (query_id, text): by terms they contain, then by id. All queries are crossed with all passages; the query set is broadcast only if it is small."""
-    asked = queries.select("query_id", F.col("text").alias("asked"))
-    rows = passages.crossJoin(broadcast_if_small(asked)).select("query_id", "id", keyword_score(F.col("text"), F.col("asked")).alias("score")).where("score > 0")
+    """passages (id, text) for each query (query_id, text): by terms they contain, then by id."""
+    scored = term_hits(passages, queries).select("query_id", "id", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
