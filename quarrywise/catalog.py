@@ -636,4 +636,4 @@ def passage_search(spark, sf_dir):
     return evidence.passage_search(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), asked(spark, sf_dir))
 
 
-from . import catalog_library  # noqa: E402,F401  (registers its queries here)
+from . import catalog_library, catalog_records  # noqa: E402,F401  (they register their queries here)
