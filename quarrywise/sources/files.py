@@ -75,24 +75,30 @@ def read_html(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_epub(spark: SparkSession, root: str) -> DataFrame:
-    """(path, place, text): the documents of each archive's spine, in order, as Markdown."""
+    """(path, place, text, problem): the documents of each archive's spine, in order, as Markdown. An archive that can't be read gives one row whose `problem` says why."""
+
+    def spine(content: bytes) -> Iterator[tuple[int, str]]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            where = ElementTree.fromstring(z.read("META-INF/container.xml")).find(".//{*}rootfile").get("full-path")
+            book = ElementTree.fromstring(z.read(where))
+            hrefs = {i.get("id"): i.get("href") for i in book.iterfind(".//{*}item")}
+            for place, ref in enumerate(book.iterfind(".//{*}itemref")):
+                name = posixpath.normpath(posixpath.join(posixpath.dirname(where), hrefs.get(ref.get("idref"), "")))
+                if name in z.namelist():
+                    yield place, z.read(name).decode("utf-8", "replace")
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for path, content in zip(f["path"], f["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    where = ElementTree.fromstring(z.read("META-INF/container.xml")).find(".//{*}rootfile").get("full-path")
-                    book = ElementTree.fromstring(z.read(where))
-                    hrefs = {i.get("id"): i.get("href") for i in book.iterfind(".//{*}item")}
-                    for place, ref in enumerate(book.iterfind(".//{*}itemref")):
-                        name = posixpath.normpath(posixpath.join(posixpath.dirname(where), hrefs.get(ref.get("idref"), "")))
-                        if name in z.namelist():
-                            rows.append((path, place, z.read(name).decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["path", "place", "html"])
+                try:
+                    rows += [(path, place, html, None) for place, html in spine(content)]
+                except (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError) as e:
+                    rows.append((path, 0, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "place", "html", "problem"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.epub").load(root).select("path", "content")
-    return html_to_markdown(files.mapInPandas(unpack, "path string, place int, html string"), "html", "text").drop("html")
+    return html_to_markdown(files.mapInPandas(unpack, "path string, place int, html string, problem string"), "html", "text").drop("html")
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import time
 import zipfile
 
 from quarrywise.sources import files
@@ -19,6 +20,9 @@ def test_markdown_epub_and_log(spark, tmp_path):
         z.writestr("o/a.html", "<p>first</p>")
         z.writestr("o/b.html", "<h1>second</h1>")
     assert [r.text for r in files.read_epub(spark, str(tmp_path)).orderBy("place").collect()] == ["# second", "first"]
+    (tmp_path / "bad.epub").write_bytes(b"no archive")
+    read = files.read_epub(spark, str(tmp_path))
+    assert read.where("problem IS NULL").count() == 2 and [r.path.endswith("bad.epub") for r in read.where("problem IS NOT NULL").collect()] == [True]
     (tmp_path / "log.jsonl").write_text('{"action": "a"}\nbroken\n')
     assert sorted(r.action for r in files.read_log(spark, str(tmp_path / "log.jsonl"), "action string").collect()) == ["a", "parse_error"]
 
@@ -29,6 +33,8 @@ def test_streamed_books_replace_their_chunks(spark, tmp_path):
     run = lambda: ingest_documents(spark, str(tmp_path / "in"), schema, str(tmp_path / "index"), str(tmp_path / "progress"), 4).awaitTermination()
     put([(1, "old"), (2, "two"), (3, "three")])
     run()
+    put([(1, "older")])
+    time.sleep(1.1)
     put([(1, "new")])
     run()
     assert sorted((r.book_id, r.text) for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [(1, "new"), (2, "two"), (3, "three")]
