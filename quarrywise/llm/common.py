@@ -1,54 +1,19 @@
-"""What several operators need: scratch tables in the shared folder, and word splitting."""
+"""What several operators need: whole texts, rows kept apart from columns, and word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lower-cases A-Z in UTF-8 bytes and leaves all other bytes alone.
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder below the shared one that spark.checkpoint.dir names. Where that is unset, a temporary folder serves a local session; a cluster has no folder to share and is refused."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = f"file://{tempfile.gettempdir()}/quarrywise-scratch"
-    return f"{shared.rstrip('/')}/quarrywise-{spark.sparkContext.applicationId}"
-
+from ..sources.tables import materialize, spread
 
-def release_scratch(spark: SparkSession) -> None:
-    """Removes the tables that materialize wrote in this application. Results that are still to be computed from them are lost, so it is for the end of a job."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["LOWER", "WordHashes", "WordPairs", "as_bytes", "materialize", "spread", "whole_text", "with_row"]
 
-
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back.
-
-    The lineage is cut without keeping blocks on executors, so a lost executor costs nothing,
-    and the shuffle files of the query that made the table are released as soon as it ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.partitionBy(*partition_by).parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+#: Lower-cases A-Z in UTF-8 bytes and leaves all other bytes alone.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def whole_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,12 +32,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, texts as bytes) of batches whose first two columns are these."""
-    for batch in batches:
-        yield batch.column(0).to_pylist(), as_bytes(batch.column(1))
-
-
 class WordPairs(dict):
     """Word -> its place in two arrays of 64-bit hashes with seeds of their own, remembered up to a bound."""
 

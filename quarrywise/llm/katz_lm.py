@@ -167,7 +167,7 @@ class Katz:
         rows = whole_text(docs, id_col, text_col)
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.chunks, self.buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // (6 * bucket_grams)))
-        self.docs = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(self.chunks)).cast("int"))
+        self.docs = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.chunks)).cast("int"))
         self.counts = materialize(self._counted(), "ord")
         self.totals = self._summed()
         self.backoff = materialize(self._weights())
@@ -275,10 +275,18 @@ class Katz:
             words, pairs = (np.where(x < 0, -1 - x, x) for x in (words, pairs))
             log_bow, whole = _answers(right, 3, "totals", "<f8"), words + _answers(right, 4, "totals", "u1")
             cw, cp = words[c.w_at], pairs[c.p_at]
-            seen = cp >= min_pair
-            with np.errstate(divide="ignore", invalid="ignore"):
-                direct = np.log10(_discounted(cp, totals.d2) / whole[c.v_at])
-            logs = np.where(seen, direct, log_bow[c.v_at] + np.log10(totals.word(cw)))
+
+            def log_p(order: int, at: np.ndarray) -> np.ndarray:
+                """log10 P of the tokens at these places: of the highest order if the n-gram was seen, else the context's backoff weight times P of the next lower order."""
+                if order == 1:
+                    return np.log10(totals.word(cw[at]))
+                seen = cp[at] >= min_pair
+                own, rest, out = at[seen], at[~seen], np.empty(len(at))
+                out[seen] = np.log10(_discounted(cp[own], totals.d2) / whole[c.v_at[own]])
+                out[~seen] = log_bow[c.v_at[rest]] + log_p(order - 1, rest)
+                return out
+
+            logs = log_p(2, np.arange(len(c.w)))
             base = np.log10((cw + 1) / (totals.tokens + totals.types + 1))
             held = [held_out(i) for i in c.ids]
             return pa.table(

@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table, spread
 from . import chat_format, decontaminate, exact_dedup, katz_lm, packing, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Texts are read over all cores; other tables as they are."""
+    rows = read_table(spark, sf_dir, name)
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

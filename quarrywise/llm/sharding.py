@@ -150,7 +150,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", tex
     parts = max(1, -(-n // (shards * NUMBERED)))
     whole_bytes = whole_share * (total or 0) / shards
     placed = levelled(kd_leaves(meta, dict.fromkeys(range(shards), 1.0), DIMENSIONS, whole_bytes), shards, SMALL_SHARE, whole_bytes) if n else meta.withColumn("shard", F.lit(0))
-    rows = placed.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
+    rows = placed.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(parts)).alias("part"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("c"))
     first = counts.select("shard", "part", (F.sum("c").over(Window.partitionBy("shard").orderBy("part")) - F.col("c")).alias("first"))
     nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32"))
