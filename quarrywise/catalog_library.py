@@ -314,6 +314,13 @@ def duplicate_books(spark, sf_dir):
     return library.duplicate_groups(b)
 
 
+@query("SELECT event_id, event_type, user_id FROM events WHERE contains(props, '\"k\": 6') AND event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50")
+def event_search(spark, sf_dir):
+    """The last fifty error events whose record contains a text."""
+    log = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "user_id", F.replace("props", F.lit('"'), F.lit("")).alias("props"))
+    return knowledge.log_search(log.where("event_type = 'error'"), "K: 6", ("ts", "event_id"), 50).select("event_id", "event_type", "user_id")
+
+
 @query()
 def near_duplicates(spark, sf_dir):
     """Pairs of titles and authors, and of bodies, that are much alike."""

@@ -121,6 +121,12 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.col(key)).limit(n)
 
 
+def log_search(log: DataFrame, needle: str, order: tuple[str, ...], last: int = 100) -> DataFrame:
+    """The last records of a log, by the columns of order, whose fields as JSON contain a text, whatever its case. Only so many rows meet in the last step."""
+    said = F.lower(F.to_json(F.struct(*[F.col(c) for c in log.columns])))
+    return log.where(F.contains(said, F.lit(needle.lower()))).orderBy(*[F.desc(c) for c in order]).limit(last)
+
+
 def clamped(value: Column, most: int, default: int) -> Column:
     """A count within 1 and most; what is no number is the default."""
     return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(value.try_cast("int"), F.lit(default))))
