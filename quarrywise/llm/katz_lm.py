@@ -26,7 +26,7 @@ FOLDS, HELD = 7, 2
 #: Counts up to this are discounted; pairs seen less often than MIN_PAIR, or a caller's min_pair, leave their mass to backoff, as Katz proposed for singletons. 1 keeps every pair.
 DISCOUNTED, MIN_PAIR = 6, 2
 #: Bytes of text in a chunk, and n-grams in a bucket.
-CHUNK_BYTES, BUCKET_GRAMS = 8 << 20, 2_000_000
+CHUNK_BYTES, BUCKET_GRAMS = 6 << 20, 2_000_000
 #: Marks of a text's end, which is a token, and of its beginning, which is only a context.
 END, BEGIN = b" end", b" begin"
 
@@ -92,7 +92,7 @@ class Chunk:
     """The tokens of some documents, as hashes, and their distinct words and pairs."""
 
     def __init__(self, ids: list, texts: list[bytes]):
-        words = WordHashes()
+        words = WordHashes(most=200_000)
         end, begin = words[END], words[BEGIN]
         per = [words.of([*t.translate(LOWER).split(), END]) for t in texts]
         self.ids, self.lengths = ids, np.array([len(p) for p in per])
@@ -101,12 +101,15 @@ class Chunk:
         self.v[np.cumsum(self.lengths)[:-1]] = begin
         self.train = np.repeat(np.array([not held_out(i) for i in ids], bool), self.lengths)
         # Contexts are words too but for the beginning, so one array of words serves both.
-        self.words, self.w_at = np.unique(np.r_[self.w, np.uint64(begin)], return_inverse=True)
+        self.words, at = np.unique(np.r_[self.w, np.uint64(begin)], return_inverse=True)
+        self.w_at = at.astype(np.int32)
         self.begin_at = self.w_at[-1]
         self.w_at = self.w_at[:-1]
         self.v_at = np.r_[self.begin_at, self.w_at[:-1]]
         self.v_at[np.cumsum(self.lengths)[:-1]] = self.begin_at
-        self.pairs, self.p_at = np.unique(pair_keys(self.v, self.w), return_inverse=True)
+        self.pairs, at = np.unique(pair_keys(self.v, self.w), return_inverse=True)
+        self.p_at = at.astype(np.int32)
+        self.v = self.w = None  # places say all that is needed from here on
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64)
         assert end != begin
 
@@ -286,7 +289,7 @@ class Katz:
                 out[~seen] = log_bow[c.v_at[rest]] + log_p(order - 1, rest)
                 return out
 
-            logs = log_p(2, np.arange(len(c.w)))
+            logs = log_p(2, np.arange(len(c.w_at)))
             base = np.log10((cw + 1) / (totals.tokens + totals.types + 1))
             held = [held_out(i) for i in c.ids]
             return pa.table(
