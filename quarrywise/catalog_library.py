@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _NORMAL, _SLUG, ASKED, BOOKS, CHUNKS, VECTORS, _any, _vectors, asked, books, documents, indexed, keyword_sql, query, table
+from .catalog import _NORMAL, _SLUG, ASKED, BOOKS, CHUNKS, ORACLE, VECTORS, _any, _vectors, asked, books, documents, indexed, keyword_sql, query, table
 from .operators import chunks, exports, extract, knowledge, library, metadata, near, search, summaries, taxonomy
 from .sources.tables import materialize
 
@@ -53,8 +53,11 @@ def headed(spark, sf_dir) -> DataFrame:
 
 _BARE = "trim(regexp_replace({}, '^\\s+|\\s+$', '', 'g'))"
 _TITLE_OF = "trim(regexp_replace(regexp_extract({}, '^#{{1,6}}\\s+(.*)$', 1), '\\s+', ' ', 'g'), '# ')"
-SECTIONS = f"""(
-WITH l AS MATERIALIZED (SELECT book_id, i, line, regexp_matches(line, '^#{{1,6}}\\s+\\S') AS head FROM (SELECT book_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {HEADED})),
+
+def sections_sql(source: str) -> str:
+    """Sections of (book_id, text) with headings of levels 1 to 3 at most."""
+    return f"""(
+WITH l AS MATERIALIZED (SELECT book_id, i, line, regexp_matches(line, '^#{{1,6}}\\s+\\S') AS head FROM (SELECT book_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source})),
 n AS (SELECT book_id, max(i) AS n_lines, bool_or(head) AS headed FROM l GROUP BY book_id),
 h AS (SELECT book_id, i, line, length(regexp_extract(line, '^#+')) AS level, {_TITLE_OF.format("line")} AS title, lead(i) OVER (PARTITION BY book_id ORDER BY i) AS next, row_number() OVER (PARTITION BY book_id ORDER BY i) AS j FROM l WHERE head),
 a AS (SELECT *, max(CASE WHEN level = 1 THEN i END) OVER w AS i1, max(CASE WHEN level = 2 THEN i END) OVER w AS i2 FROM h WINDOW w AS (PARTITION BY book_id ORDER BY i)),
@@ -67,6 +70,9 @@ FROM p JOIN t USING (book_id, i) WHERE inner_text <> ''
 UNION ALL SELECT book_id, 1, '', 'Body', string_agg(line, chr(10) ORDER BY i), 1, max(i) FROM l JOIN n USING (book_id) WHERE NOT headed GROUP BY book_id HAVING string_agg(line, chr(10) ORDER BY i) <> '')"""
 
 
+SECTIONS = sections_sql(HEADED)
+
+
 @query(f"""
 SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY i) - 1)::INT AS place, heading_path, chapter_title, {_SLUG.format("heading_path")} AS section_id, start_line, end_line, sha256(text) AS text_sha256 FROM {SECTIONS} WHERE heading_path <> ''""")
 def document_sections(spark, sf_dir):
@@ -78,6 +84,19 @@ def document_sections(spark, sf_dir):
 _TOPIC_KEYS = "list_transform(ts, lambda t: replace(replace(replace(lower(trim(t)), ' ', '_'), '-', '_'), '_', ' '))"
 
 
+_BLOCKS = "(?i)</h[1-6]>|</?(?:p|div|section|article|chapter|li|br|blockquote|tr|table|ul|ol)\\b[^>]*>"
+_BARE_HTML = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g')"
+for _level in range(1, 7):
+    _BARE_HTML = f"regexp_replace({_BARE_HTML}, '(?i)<h{_level}\\b[^>]*>', chr(10) || chr(10) || '{'#' * _level} ', 'g')"
+_BARE_HTML = f"regexp_replace(regexp_replace({_BARE_HTML}, '{_BLOCKS}', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g')"
+#: The entities that the given pages have; others would need a table.
+_READ_HTML = f"regexp_replace(replace(replace(replace({_BARE_HTML}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
+_TIDY_HTML = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({_READ_HTML}, chr(160), ' '), '[ \\t]+', ' ', 'g'), '\\n[ \\t]+', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+ORACLE["page_sections"] = f"""
+SELECT book_id AS page_id, (row_number() OVER (PARTITION BY book_id ORDER BY i) - 1)::INT AS place, heading_path, chapter_title, CASE WHEN heading_path = '' THEN 'body' ELSE {_SLUG.format("heading_path")} END AS section_id, start_line, end_line, sha256(text) AS text_sha256
+FROM {sections_sql(f"(SELECT page_id AS book_id, {_TIDY_HTML} AS text FROM pages)")}"""
+
+
 @query(f"""
 WITH h AS (SELECT book_id, text, list_transform(regexp_extract_all(text, '(?m)^#{{1,6}}\\s+(.+?)\\s*$', 1)[:80], lambda x: lower(trim(regexp_replace(trim(x), '(?i)^(chapter|part|section)\\s+\\d+[:.\\s-]*', ''), ' .:-'))) AS hs FROM {HEADED}),
 k AS (SELECT book_id, list_concat(list_filter(hs, lambda x: x <> '' AND length(x) <= 80 AND x NOT IN ({", ".join(f"'{t}'" for t in metadata.NO_TOPICS)})),
@@ -113,7 +132,7 @@ def _meta():
 
 @query("""
 SELECT doc_id AS book_id, CASE WHEN doc_id % 13 = 0 THEN 'Missing YAML frontmatter block' ELSE array_to_string(list_filter([
-    CASE WHEN doc_id % 2 <> 0 THEN 'Missing required field: title' END, CASE WHEN doc_id % 3 = 0 THEN 'Missing required field: author' END, CASE WHEN doc_id % 4 = 0 THEN 'Missing required field: classification' END,
+    CASE WHEN doc_id % 2 <> 0 THEN 'Missing required field: title' END, CASE WHEN doc_id % 3 = 0 THEN 'Missing required field: author' END, CASE WHEN doc_id % 4 = 0 OR doc_id % 385 = 0 THEN 'Missing required field: classification' END,
     CASE WHEN doc_id % 4 = 0 THEN 'classification must be a mapping' END, CASE WHEN doc_id % 4 <> 0 AND doc_id % 7 = 0 THEN 'Missing classification.primary_class' END,
     CASE WHEN doc_id % 4 <> 0 AND doc_id % 11 = 0 THEN 'Missing classification.primary_label' END, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 0 THEN 'classification.scheme should be BMDC' END], lambda x: x IS NOT NULL), '; ') END AS problems FROM documents""")
 def front_matter_problems(spark, sf_dir):

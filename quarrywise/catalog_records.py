@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _SLUG, BOOKS, ORACLE, asked, books, documents, indexed, query, table
+from .catalog import _SLUG, ASKED, BOOKS, CHUNKS, ORACLE, VECTORS, _map_sql, _vectors, asked, books, documents, indexed, keyword_sql, query, table
 from .catalog_library import HEADED, TAXONOMY, headed
 from .functions import markdown
-from .operators import chunks, formats, knowledge, library, reviews, summaries, taxonomy
-from .plans import packs
+from .operators import chunks, exports, formats, knowledge, library, reviews, search, summaries, taxonomy
+from .plans import evidence, packs
 
 ORACLE["graph_records"] = f"""
 SELECT book_id, other_id, '<edge source="' || book_id || '" target="' || other_id || '"><data key="score">' || score || '</data></edge>' AS graphml, '  _' || book_id || ' -- "' || score || '" --> _' || other_id AS mermaid,
@@ -218,3 +218,113 @@ def density_counts(spark, sf_dir):
     """Books by density, in a given order."""
     d = F.when(F.col("pages") < 10, "light").when(F.col("pages") < 30, "medium").when(F.col("pages") < 45, "dense")
     return library.level_counts(books(spark, sf_dir).withColumn("density", d), "density", ("light", "medium", "dense", "unknown"))
+
+
+# --- plans
+
+
+@query(f"""
+WITH c AS MATERIALIZED (SELECT k.*, d.lang AS code FROM {CHUNKS} k JOIN documents d ON d.doc_id = k.book_id), h AS MATERIALIZED ({keyword_sql("c", "chunk_id", ASKED, 100000000)}),
+m AS (SELECT h.query_id, h.id, h.score, c.code, CASE WHEN h.query_id % 40 = 0 THEN ['es', 'de', 'fr'] WHEN h.query_id % 60 = 0 THEN ['fr'] ELSE []::VARCHAR[] END AS codes FROM h JOIN c ON c.chunk_id = h.id),
+s AS (SELECT query_id, id, (list_position(codes, code) - 1)::INT AS stage, score FROM m WHERE list_contains(codes, code) UNION ALL SELECT query_id, id, 3, score FROM m),
+r AS (SELECT query_id, id, stage, row_number() OVER (PARTITION BY query_id, stage ORDER BY score DESC, id)::INT AS stage_rank FROM s QUALIFY stage_rank <= 6),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY stage, stage_rank) = 1)
+SELECT query_id, id, stage, stage_rank, row_number() OVER (PARTITION BY query_id ORDER BY stage, stage_rank, id)::INT AS rank FROM f QUALIFY rank <= 6""")
+def routed_passages(spark, sf_dir):
+    """Chunks of a query's classes, one after another, then of any."""
+    rows = indexed(spark, sf_dir).withColumn("primary_class", F.col("author"))
+    q = asked(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    codes = F.when(F.col("query_id") % 40 == 0, F.array(F.lit("es"), F.lit("de"), F.lit("fr"))).when(F.col("query_id") % 60 == 0, F.array(F.lit("fr"))).otherwise(none)
+    return packs.routed_search(rows, q, *taxonomy.taxonomy_tables(spark, TAXONOMY), 6, q.select("query_id", codes.alias("class_codes")))
+
+
+@query(f"""
+WITH b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank FROM ({VECTORS}) WHERE id % 7 <> 0), n AS (SELECT query_id, id, rank FROM ({VECTORS}) WHERE rank <= 8)
+SELECT query_id, id, CASE WHEN b.rank IS NULL THEN 'added' WHEN n.rank IS NULL THEN 'gone' WHEN n.rank <> b.rank THEN 'moved' ELSE 'same' END AS change FROM n FULL JOIN b USING (query_id, id)""")
+def saved_query_changes(spark, sf_dir):
+    """What two runs of saved queries found differently."""
+    rows = search.top(_vectors(spark, sf_dir).drop("rank"), 10)
+    return packs.changed_since(rows.where("rank <= 8"), search.top(rows.where("id % 7 <> 0").drop("rank"), 10))
+
+
+@query(f"""
+WITH s AS MATERIALIZED ({keyword_sql("documents", "doc_id", ASKED, 10)}), c AS MATERIALIZED (SELECT * FROM {CHUNKS}), h AS MATERIALIZED ({keyword_sql("c", "chunk_id", ASKED, 10)}), m AS MATERIALIZED ({_map_sql(8)}),
+r AS (SELECT query_id, split_part(id, '_', 1)::BIGINT AS book_id FROM h),
+e AS (SELECT query_id, book_id, 'routed' AS kind, 3.0::DOUBLE AS w FROM r WHERE query_id % 40 = 0 UNION ALL SELECT query_id, book_id, 'broad', 2.0 FROM r WHERE query_id % 40 <> 0 UNION ALL SELECT query_id, id, 'summary', 2.5 FROM s
+      UNION ALL SELECT query_id, id, 'concept', 2.0 FROM s WHERE rank <= 2 UNION ALL SELECT query_id, book_id, 'map', greatest(0.5::DOUBLE, 2.0::DOUBLE - 0.1::DOUBLE * rank) FROM m),
+t AS (SELECT query_id, book_id FROM (SELECT query_id, book_id, round(sum(w), 4) AS s FROM e GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, book_id) <= 3),
+g AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents), n AS (SELECT t.query_id, x.o AS book_id FROM t JOIN (SELECT a AS k, b AS o FROM g UNION ALL SELECT b, a FROM g) x ON x.k = t.book_id),
+f AS (SELECT * FROM e UNION ALL SELECT query_id, book_id, 'graph', 0.75 FROM n)
+SELECT query_id, book_id, round(sum(w), 4) AS score, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w), 4) DESC, book_id)::INT AS rank FROM f GROUP BY query_id, book_id QUALIFY rank <= 8""")
+def reading_plan(spark, sf_dir):
+    """Books to read for each benchmark item, by five kinds of evidence."""
+    q, chunk_rows = asked(spark, sf_dir), indexed(spark, sf_dir)
+    whole = search.keyword_search(table(spark, sf_dir, "documents"), q, "doc_id", "text", 12).withColumnRenamed("id", "book_id")
+    parts = search.keyword_search(chunk_rows, q, "chunk_id", "text", 12).withColumn("book_id", F.substring_index("id", "_", 1).cast("long"))
+    hits = parts.where("rank <= 10")
+    edges = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), (F.col("doc_id") + 1).alias("other_id"), F.lit(0.5).alias("score"))
+    return evidence.reading_plan(hits.where("query_id % 40 = 0"), hits.where("query_id % 40 <> 0"), whole.where("rank <= 10"), whole.where("rank <= 2"), evidence.topic_map(whole, parts), edges)
+
+
+@query(f"""
+WITH b AS (SELECT book_id, coalesce(difficulty, '') AS d, CASE difficulty WHEN 'beginner' THEN 'Basics of ' WHEN 'advanced' THEN 'Technical ' WHEN 'intermediate' THEN 'A reference of ' ELSE '' END || title AS t, book_id % 6 AS r, book_id % 7 AS k FROM {BOOKS})
+SELECT book_id, CASE WHEN r = 1 THEN 'Start here' WHEN k = 0 THEN 'Use as a reference' WHEN k = 1 THEN 'Skim, then search' WHEN d = 'beginner' AND k <> 2 THEN 'Read early' WHEN d = 'advanced' AND k <> 2 OR k = 3 THEN 'Read after the foundations'
+            WHEN d = 'beginner' THEN 'Read early' WHEN d = 'advanced' THEN 'Read after the foundations' WHEN d = 'intermediate' THEN 'Use as a reference' ELSE 'Then read' END AS posture,
+       t || ' is recommended for goals because it has ' || CASE WHEN k = 4 THEN 'summary match, connected to other relevant books' WHEN k = 5 THEN 'relevant passages found' ELSE 'matched the reading goal' END || '.' AS why FROM b""")
+def reading_postures(spark, sf_dir):
+    """How to take the books of a plan, and why."""
+    k, d = F.col("book_id") % 7, F.col("difficulty")
+    title = F.concat(F.when(d == "beginner", "Basics of ").when(d == "advanced", "Technical ").when(d == "intermediate", "A reference of ").otherwise(""), "title")
+    kinds = F.when(k == 4, "graph,summary").when(k == 5, "broad").otherwise("none")
+    how = evidence.posture(F.col("book_id") % 6, title, F.lit(""), F.when(k == 0, "reference").when(k == 1, "skim_then_search").otherwise("cover_to_cover"), F.when(k != 2, d), F.when(k == 3, "dense").otherwise("medium"))
+    return books(spark, sf_dir).select("book_id", how.alias("posture"), evidence.why(title, F.lit("goals"), kinds).alias("why"))
+
+
+@query(f"""
+SELECT book_id, '<node id="' || book_id || '">' || chr(10) || '  <data key="title">' || title || '</data>' || chr(10) || '  <data key="author">' || coalesce(author, '') || '</data>' || chr(10) || '  <data key="primary_class">' || primary_class || '</data>' || chr(10) || '</node>' AS graphml,
+       '{{"data":{{"id":"' || book_id || '","label":"' || title || '"' || coalesce(',"author":"' || author || '"', '') || ',"primary_class":"' || primary_class || '"}}}}' AS cytoscape FROM {BOOKS}""")
+def graph_nodes(spark, sf_dir):
+    """Books as GraphML and Cytoscape nodes."""
+    return books(spark, sf_dir).select("book_id", exports.graphml_nodes().alias("graphml"), exports.cytoscape_nodes().alias("cytoscape"))
+
+
+@query(f"SELECT '  _' || book_id || ' -- \"' || score || '\" --> _' || other_id AS mermaid FROM ({ORACLE['book_graph']}) ORDER BY score DESC, book_id, other_id LIMIT 200")
+def best_edges(spark, sf_dir):
+    """The best edges of the book graph, as lines of a drawing."""
+    return exports.best_edges(library.edges(books(spark, sf_dir)), 200).select(exports.mermaid_edges().alias("mermaid"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'q' || o_orderkey END AS intent FROM orders")
+def query_goals(spark, sf_dir):
+    """A goal before a topic before a query."""
+    k = F.col("o_orderkey")
+    said = knowledge.intent(F.when(k % 3 == 0, F.col("o_orderpriority")), F.when(k % 2 == 0, F.col("o_orderstatus")).otherwise(" "), F.concat(F.lit("q"), k.cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", said.alias("intent"))
+
+
+@query(f"""
+SELECT book_id, CASE WHEN book_id % 2 = 0 THEN title END AS thesis, coalesce(n, 0) AS n_chapters, coalesce(i, false) AS indexed FROM {BOOKS} LEFT JOIN (SELECT l_partkey AS book_id, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1) USING (book_id)
+LEFT JOIN (SELECT ps AS book_id, bool_or(o_orderstatus = 'F') AS i FROM (SELECT o_orderkey AS ps, o_orderstatus FROM orders) GROUP BY 1) USING (book_id)""")
+def assembled_books(spark, sf_dir):
+    """Books with their summary, chapters and state."""
+    b = books(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("book_id"))
+    state = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("book_id"), (F.col("o_orderstatus") == "F").alias("indexed"))
+    return knowledge.assembled(b.select("book_id"), b.where("book_id % 2 = 0").select("book_id", F.col("title").alias("thesis")), lines, state)
+
+
+@query(f"""
+WITH b AS (SELECT * FROM {BOOKS} WHERE book_id % 3 = 0), r AS (SELECT * FROM {BOOKS} WHERE book_id % 2 = 0)
+SELECT book_id FROM r WHERE list_has_any(isbns, (SELECT flatten(list(isbns)) FROM b)) OR lower(title) || '|' || lower(coalesce(author, '')) IN (SELECT lower(title) || '|' || lower(coalesce(author, '')) FROM b)""")
+def known_again(spark, sf_dir):
+    """Books that others share an ISBN, or a title and author, with."""
+    b = books(spark, sf_dir)
+    return reviews.known_again(b.where("book_id % 2 = 0"), b.where("book_id % 3 = 0")).select("book_id")
+
+
+@query(f"SELECT book_id FROM {BOOKS} WHERE book_id = 7 OR contains(lower(title || ' ' || coalesce(author, '')), 'steel') OR contains(lower(array_to_string(topics, ' ')), 'steel')")
+def graph_matches(spark, sf_dir):
+    """Books that a query names."""
+    b = books(spark, sf_dir)
+    return knowledge.matching_nodes(b, "Steel").select("book_id").unionByName(knowledge.matching_nodes(b.where("NOT contains(lower(title), 'steel')"), "7").where("book_id = 7").select("book_id"))

@@ -61,6 +61,20 @@ def without_spans(x: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), depth)), x, lambda a, _: F.when(a.rlike(SPAN), F.regexp_replace(a, SPAN, "$1")).otherwise(a))
 
 
+def profile_of(settings: dict[str, dict], name: str) -> Profile:
+    """A profile by name from settings in which one may extend another: what a profile says itself wins over what it extends. Unknown names, unknown steps and circles are errors."""
+    chain, at = [], name
+    while at:
+        if at in chain or at not in settings:
+            raise ValueError(f"no cleaning profile: {' -> '.join([*chain, at])}")
+        chain.append(at)
+        at = settings[at].get("extends")
+    said: dict[str, bool] = {}
+    for n in reversed(chain):
+        said |= {k: bool(v) for k, v in settings[n].items() if k != "extends"}
+    return replace(EPUB, **said)
+
+
 def front_matter(raw: Column) -> tuple[Column, Column]:
     """(YAML between the first two --- lines, what follows); without such lines the YAML is empty."""
     block = r"(?s)\A---\s*\n(.*?)\n---\s*\n"

@@ -122,6 +122,30 @@ def yaml_text(x: pd.Series) -> pd.Series:
     return x.map(lambda raw: yaml.safe_dump(json.loads(raw or "{}"), sort_keys=False, allow_unicode=True))
 
 
+def yaml_record(*columns: str) -> Column:
+    """Columns as a YAML mapping, in their order: an entry of a review queue, a group of duplicates, a saved query."""
+    return yaml_text(F.to_json(F.struct(*columns)))
+
+
+def brief() -> Column:
+    """A brief of an answer pack (text, aliases, passages, themes, citations) in Markdown."""
+    none = F.array().cast("array<string>")
+    bullets = lambda c: F.coalesce(F.nullif(F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("")), F.lit("- None."))
+    quotes = F.coalesce(F.nullif(F.array_join(F.transform("passages", lambda p: F.concat(F.lit("> "), F.replace(p["excerpt"], F.lit("\n"), F.lit("\n> ")), F.lit("\n> — "), p["citation"])), "\n\n"), F.lit("")), F.lit("No passages."))
+    return F.concat(F.lit("# "), text(F.col("text")), F.lit("\n\n## Route\n\n"), bullets("aliases"), F.lit("\n\n## Passages\n\n"), quotes, F.lit("\n\n## Themes\n\n"), bullets(F.coalesce("themes", none)), F.lit("\n\n## Citations\n\n"), bullets(F.coalesce("citations", none)), F.lit("\n"))
+
+
+def format_problems(form: dict) -> list[str]:
+    """What is wrong with a format's table of fields."""
+    engine = form.get("engine")
+    if engine not in ENGINES:
+        return [f"unknown engine: {engine}"]
+    fields = form.get("record", {}).get("fields", []) if engine == "text_records" else form.get("fields", [])
+    needs = {"text_records": ("template",), "json_records": ("key",), "xml_records": ("path",)}[engine]
+    out = [f"field {i} has no {n}" for i, f in enumerate(fields) for n in needs if not f.get(n)]
+    return out + [f"field {i} says nothing" for i, f in enumerate(fields) if not {"template", "literal", "source"} & set(f)] + (["no fields"] if not fields else [])
+
+
 def with_front_matter(block_json: Column, body: Column) -> Column:
     """A Markdown file: the front matter as YAML between lines of dashes, and the body."""
     return F.concat(F.lit("---\n"), yaml_text(block_json), F.lit("---\n\n"), F.regexp_replace(text(body), r"\A\s+", ""))

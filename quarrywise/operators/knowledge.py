@@ -132,6 +132,31 @@ def clamped(value: Column, most: int, default: int) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(value.try_cast("int"), F.lit(default))))
 
 
+def matching_nodes(books: DataFrame, query: str) -> DataFrame:
+    """Books of a graph that a query names: by id, or by a part of the title, author or topics, whatever the case."""
+    low = F.lit(query.lower())
+    return books.where((F.lower(F.col("book_id").cast("string")) == low) | F.contains(F.lower(F.concat_ws(" ", "title", text(F.col("author")), F.array_join(F.coalesce("topics", F.array().cast("array<string>")), " "))), low))
+
+
+def assembled(books: DataFrame, summaries: DataFrame, chapters: DataFrame, manifest: DataFrame) -> DataFrame:
+    """books (book_id) with the thesis of their summary, the number of their chapters and the state of their manifest row (indexed); what isn't there is null, 0 and false."""
+    n = chapters.groupBy("book_id").agg(F.count("*").alias("n_chapters"))
+    state = manifest.groupBy("book_id").agg(F.bool_or("indexed").alias("indexed"))
+    rows = books.join(summaries.select("book_id", "thesis"), "book_id", "left").join(n, "book_id", "left").join(state, "book_id", "left")
+    return rows.withColumn("n_chapters", F.coalesce("n_chapters", F.lit(0))).withColumn("indexed", F.coalesce("indexed", F.lit(False)))
+
+
+def intent(goal: Column, topic: Column, query: Column) -> Column:
+    """What is asked for: a goal before a topic before a query."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (goal, topic, query)], F.lit(""))
+
+
+def table_fingerprint(rows: DataFrame) -> DataFrame:
+    """One row (n, fingerprint) that tells a table's contents, whatever the order of its rows: sums of two hashes of each."""
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns]).cast("decimal(20,0)"))
+    return rows.agg(F.count("*").alias("n"), h(1).alias("a"), h(2).alias("b")).select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.coalesce("a", F.lit(0)).cast("string"), F.coalesce("b", F.lit(0)).cast("string")), 256).alias("fingerprint"))
+
+
 def statistics(books: DataFrame, most: int = 10) -> DataFrame:
     """(kind, name, books, chunks, rank): classes, authors and topics with most books, up to `most` each."""
     from .library import author_counts, class_counts, topic_counts

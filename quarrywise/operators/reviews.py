@@ -55,6 +55,15 @@ def issues(books: DataFrame) -> DataFrame:
     return mine.unionByName(keyed.join(shared, ["issue", "detail"]).select("path", F.lit("metadata").alias("queue"), "issue", F.lit("high").alias("severity"), "detail").distinct())
 
 
+def known_again(reviewed: DataFrame, books: DataFrame) -> DataFrame:
+    """reviewed rows (isbns, title, author) of which books (isbns, title, author) have an ISBN, or the title and author whatever their case."""
+    key = F.concat(F.lower(F.trim(text(F.col("title")))), F.lit("|"), F.lower(F.trim(text(F.col("author")))))
+    rows = reviewed.withColumn("__row", F.monotonically_increasing_id()).withColumn("__key", key)
+    names = books.select(key.alias("__key")).where("__key <> '|'").distinct()
+    by_isbn = rows.select("__row", F.explode("isbns").alias("isbn")).join(books.select(F.explode("isbns").alias("isbn")).distinct(), "isbn", "left_semi").select("__row")
+    return rows.join(by_isbn.unionByName(rows.join(names, "__key", "left_semi").select("__row")).distinct(), "__row", "left_semi").drop("__row", "__key")
+
+
 def edition_records(books: DataFrame) -> DataFrame:
     """books (book_id, title, author, isbn, work_id, edition_number, edition_year, published) with work and edition; what is there isn't replaced."""
     wid = F.coalesce(F.nullif("work_id", F.lit("")), slug(F.concat(F.when(text(F.col("author")) != "", F.concat("author", F.lit("_"))).otherwise(""), canonical_title(F.col("title")))))

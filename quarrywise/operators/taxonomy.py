@@ -70,8 +70,9 @@ def has_term(query: Column, term: Column) -> Column:
 
 
 def hint_hits(query: Column) -> dict[str, Column]:
-    """For each domain how many of its terms the normal query has."""
-    return {name: F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: has_term(query, t))) for name, (_, _, terms) in HINTS.items()}
+    """For each domain how many of its terms the normal query has. Terms are fixed, so their patterns are too."""
+    has = lambda t: F.contains(query, F.lit(t)) if " " in t else query.rlike(rf"(?U)\b{t}\b")
+    return {name: F.size(F.filter(F.array(*[has(t) for t in terms]), lambda x: x)) for name, (_, _, terms) in HINTS.items()}
 
 
 def route_queries(queries: DataFrame, classes: DataFrame, aliases: DataFrame, most: int = 3) -> DataFrame:

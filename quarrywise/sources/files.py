@@ -69,6 +69,12 @@ def books_of(files: DataFrame) -> DataFrame:
     )
 
 
+def file_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length, sha256) of files below root, by their bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def read_html(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{html,htm,xhtml}").text(root, wholetext=True)
     return html_to_markdown(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")), "raw", "text").drop("raw")

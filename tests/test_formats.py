@@ -5,8 +5,8 @@ from xml.etree import ElementTree
 import yaml
 from pyspark.sql import functions as F
 
-from quarrywise.operators import formats
-from quarrywise.sources import libraries
+from quarrywise.operators import formats, knowledge
+from quarrywise.sources import files, libraries
 
 BOOKS = [("b1", "Deep {Work} & \"more\"", "Newport, Cal", "2016 ed.", "Grand", "NY", "2nd", "0306406152", "158"), ("b2", "Plain", None, None, None, None, None, None, None)]
 SCHEMA = "book_id string, title string, author string, year string, publisher string, place string, edition string, isbn string, primary_class string"
@@ -93,3 +93,17 @@ def test_other_readers(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p/x.pdf").write_bytes(b"no pdf")
     assert [r.problem is not None and r.text is None for r in libraries.read_pdf(spark, str(tmp_path / "p")).collect()] == [True]
+
+
+def test_yaml_briefs_and_validators(spark, tmp_path):
+    df = spark.createDataFrame([("t", ["a"], [("e1\ne2", "c1")], None, ["c1"]), ("u", [], None, ["x"], None)], "text string, aliases array<string>, passages array<struct<excerpt:string,citation:string>>, themes array<string>, citations array<string>")
+    one, two = [r.b for r in df.select(formats.brief().alias("b")).collect()]
+    assert one == "# t\n\n## Route\n\n- a\n\n## Passages\n\n> e1\n> e2\n> — c1\n\n## Themes\n\n- None.\n\n## Citations\n\n- c1\n" and "No passages." in two
+    assert df.limit(1).select(formats.yaml_record("text", "aliases").alias("y")).first().y == "text: t\naliases:\n- a\n"
+    assert [formats.format_problems(f) for f in (TEXT, JSON, XML)] == [[], [], []]
+    assert formats.format_problems({"engine": "x"}) == ["unknown engine: x"] and formats.format_problems({"engine": "json_records", "fields": [{"key": "a"}, {"literal": "b"}]}) == ["field 1 has no key", "field 0 says nothing"]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/a.md").write_bytes(b"abc")
+    assert [(r.length, r.sha256) for r in files.file_hashes(spark, str(tmp_path / "f")).collect()] == [(3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")]
+    a, b = spark.range(50).repartition(3), spark.range(50)
+    assert knowledge.table_fingerprint(a).first() == knowledge.table_fingerprint(b).first() != knowledge.table_fingerprint(spark.range(51)).first()

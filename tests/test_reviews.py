@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from quarrywise.functions.markdown import EPUB, heading_levels, without_noise
+from quarrywise.functions.markdown import EPUB, heading_levels, profile_of, without_noise
 from quarrywise.operators import reviews, taxonomy
 from quarrywise.plans import packs
 
@@ -80,3 +81,12 @@ def test_answer_packs_route_and_fall_back(spark):
     assert {(r.query_id, r.text) for r in asked.collect()} == {(1, "cash saving bonds"), (2, "y ")} or {(r.query_id, r.text.strip()) for r in asked.collect()} == {(1, "cash saving bonds"), (2, "y")}
     now, before = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_id int, id string, rank int"), spark.createDataFrame([(1, "a", 1), (1, "c", 2), (1, "d", 3)], "query_id int, id string, rank int")
     assert {(r.id, r.change) for r in packs.changed_since(now, before).collect()} == {("a", "same"), ("b", "added"), ("c", "moved"), ("d", "gone")}
+
+
+def test_profiles_extend_each_other():
+    settings = {"epub": {}, "light": {"extends": "epub", "images": False, "links": False}, "plain": {"extends": "light", "links": True, "quotes": True}, "a": {"extends": "b"}, "b": {"extends": "a"}}
+    p = profile_of(settings, "plain")
+    assert (p.images, p.links, p.quotes, p.tags) == (False, True, True, True) and profile_of(settings, "epub") == EPUB
+    for bad in ("none", "a"):
+        with pytest.raises(ValueError, match="no cleaning profile"):
+            profile_of(settings, bad)
