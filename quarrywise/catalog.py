@@ -634,6 +634,3 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT
 def passage_search(spark, sf_dir):
     """Documents by the terms of each benchmark item that they contain."""
     return evidence.passage_search(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), asked(spark, sf_dir))
-
-
-from . import catalog_library, catalog_records  # noqa: E402,F401  (they register their queries here)

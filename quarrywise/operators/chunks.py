@@ -12,6 +12,9 @@ TARGET, OVERLAP = 3500, 500
 #: Fixed: titles of chapters.
 CHAPTER_TITLE = r"(?i)\A(chapter\s+\d+|chapter\s+[ivxlcdm]+|preface|introduction|prologue|epilogue|conclusion|afterword|appendix\b.*)\z"
 
+#: Fixed: a whole line that is a heading, told within a text. What it parts are the texts of sections.
+HEADING_LINE = r"(?dm)^#{1,6}[ \t\x0B\f\r]+[^\n\r\u0085\u2028\u2029]+?[ \t\x0B\f\r]*$"
+
 _STACK = "array<struct<level:int,title:string>>"
 
 
@@ -51,7 +54,7 @@ def with_sections(df: DataFrame, body: str, out: str = "sections") -> DataFrame:
         chapter = F.coalesce(F.try_element_at(F.filter(stack, lambda s: s["title"].rlike(CHAPTER_TITLE)), F.lit(1)), stack[0])["title"]
         return F.struct(
             path.alias("heading_path"), slug(chapter).alias("chapter_id"), chapter.alias("chapter_title"), slug(path).alias("section_id"), m["title"].alias("section_title"),
-            F.rtrim(m["line"]).alias("line"), stripped(F.array_join(F.slice(lines, m["at"] + 2, end - m["at"] - 1), "\n")).alias("inner"),
+            F.rtrim(m["line"]).alias("line"), stripped(F.col("__bodies")[j + 1]).alias("inner"),
             (m["at"] + 1).cast("long").alias("start_line"), F.least(end + 1, F.size(lines)).cast("long").alias("end_line"),
         )
 
@@ -60,14 +63,14 @@ def with_sections(df: DataFrame, body: str, out: str = "sections") -> DataFrame:
         F.lit("").alias("heading_path"), F.lit("body").alias("chapter_id"), F.lit("Body").alias("chapter_title"), F.lit("body").alias("section_id"), F.lit("Body").alias("section_title"),
         F.lit("").alias("line"), bare.alias("inner"), line_of(raw, start).alias("start_line"), line_of(raw, start + F.length(bare)).alias("end_line"),
     )
-    rows = df.withColumn("__raw", text(F.col(body))).withColumn("__bare", stripped(F.col("__raw"))).withColumn("__lines", F.split("__raw", "\n")).withColumn("__marks", found).withColumn("__stacks", stacks)
+    rows = df.withColumn("__raw", text(F.col(body))).withColumn("__bare", stripped(F.col("__raw"))).withColumn("__lines", F.split("__raw", "\n")).withColumn("__bodies", F.split("__raw", HEADING_LINE, -1)).withColumn("__marks", found).withColumn("__stacks", stacks)
     rows = rows.withColumn("__all", F.when(F.size(marks) > 0, F.transform(marks, section)).otherwise(F.array(whole)))
     named = lambda s: F.struct(
         *[s[c].alias(c) for c in ("heading_path", "chapter_id", "chapter_title", "section_id", "section_title")],
         F.when(s["line"] == "", s["inner"]).otherwise(F.concat(s["line"], F.lit("\n\n"), s["inner"])).alias("text"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
     )
     rows = rows.withColumn(out, F.transform(F.filter("__all", lambda s: s["inner"] != ""), named))
-    return rows.drop("__raw", "__bare", "__lines", "__marks", "__stacks", "__all")
+    return rows.drop("__raw", "__bare", "__lines", "__bodies", "__marks", "__stacks", "__all")
 
 
 def pieces(section_text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
