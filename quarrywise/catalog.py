@@ -148,7 +148,7 @@ def paragraph_report(spark, sf_dir):
 def page_sections(spark, sf_dir):
     """Pages as Markdown, cut at their headings."""
     pages = cleaning.html_to_markdown(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "text").drop("html")
-    rows = chunks.with_sections(pages, "text", "s").select("page_id", F.posexplode("s").alias("place", "s"))
+    rows = chunks.unrolled(chunks.with_sections(pages, "text", "s"), ("page_id",), "s", "place")
     return rows.select("page_id", "place", "s.heading_path", "s.chapter_title", "s.section_id", "s.start_line", "s.end_line", F.sha2("s.text", 256).alias("text_sha256"))
 
 

@@ -77,7 +77,7 @@ SECTIONS = sections_sql(HEADED)
 SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY i) - 1)::INT AS place, heading_path, chapter_title, {_SLUG.format("heading_path")} AS section_id, start_line, end_line, sha256(text) AS text_sha256 FROM {SECTIONS} WHERE heading_path <> ''""")
 def document_sections(spark, sf_dir):
     """Documents with headings, cut at them, with the headings above and the chapter of each section."""
-    rows = chunks.with_sections(headed(spark, sf_dir).select("book_id", "text"), "text", "s").select("book_id", F.posexplode("s").alias("place", "s"))
+    rows = chunks.unrolled(chunks.with_sections(headed(spark, sf_dir).select("book_id", "text"), "text", "s"), ("book_id",), "s", "place")
     return rows.select("book_id", "place", "s.heading_path", "s.chapter_title", "s.section_id", "s.start_line", "s.end_line", F.sha2("s.text", 256).alias("text_sha256")).where("heading_path <> ''")
 
 

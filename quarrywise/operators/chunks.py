@@ -73,6 +73,11 @@ def with_sections(df: DataFrame, body: str, out: str = "sections") -> DataFrame:
     return rows.drop("__raw", "__bare", "__lines", "__bodies", "__marks", "__stacks", "__all")
 
 
+def unrolled(rows: DataFrame, keep: tuple[str, ...], array: str, place: str) -> DataFrame:
+    """A row for each element of an array column, with its place. The outer form keeps Spark from testing the array's size first, a filter that it would push below the columns that the array is made of, making them again in it for each element."""
+    return rows.select(*keep, F.posexplode_outer(array).alias(place, array)).where(F.col(place).isNotNull())
+
+
 def pieces(section_text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
     """array<struct<text, start, end, start_line, end_line>>: windows of target characters that overlap, stripped; blank ones are left out.
 
@@ -103,7 +108,7 @@ def chunk_documents(docs: DataFrame, target: int = TARGET, overlap: int = OVERLA
     """docs (book_id, title, author, source_path, text) as chunks, with links to the chunks before and after and a citation."""
     each = F.transform(F.col("s"), lambda s: F.transform(pieces(s["text"], target, overlap), lambda p: F.struct(s.alias("section"), p.alias("piece"))))
     rows = with_sections(docs, "text", "s").withColumn("c", F.flatten(each)).withColumn("n", F.size("c"))
-    rows = rows.select("book_id", "title", "author", "source_path", "n", F.posexplode("c").alias("i", "c"))
+    rows = unrolled(rows, ("book_id", "title", "author", "source_path", "n"), "c", "i")
     name = lambda i: F.concat(F.col("book_id").cast("string"), F.lit("_"), F.lpad(i.cast("string"), 6, "0"))
     s, p = F.col("c.section"), F.col("c.piece")
     first, last = s["start_line"] + p["start_line"] - 1, s["start_line"] + p["end_line"] - 1

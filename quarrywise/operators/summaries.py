@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import alias, slug, stripped, text
-from .chunks import with_sections
+from .chunks import unrolled, with_sections
 from .extract import first_paragraph, keywords
 
 #: Fixed: words that are no themes, and the forms of themes of several words.
@@ -55,7 +55,7 @@ def chapter_place(title: Column) -> Column:
 
 
 def _sections(books: DataFrame) -> DataFrame:
-    rows = with_sections(books, "text", "__sections").select("book_id", F.posexplode("__sections").alias("at", "s"))
+    rows = unrolled(with_sections(books, "text", "s"), ("book_id",), "s", "at")
     return rows.select("book_id", "at", F.col("s.heading_path").alias("heading_path"), F.col("s.text").alias("text"))
 
 
