@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize, spread
 
-__all__ = ["LOWER", "WordHashes", "WordPairs", "as_bytes", "materialize", "spread", "whole_text", "with_row"]
+__all__ = ["LOWER", "WordHashes", "WordPairs", "as_bytes", "materialize", "packed", "spread", "unpacked", "whole_text", "with_row"]
 
 #: Lower-cases A-Z in UTF-8 bytes and leaves all other bytes alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -32,6 +33,20 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers under 2**32 as compressed planes of their bytes, as many as the largest needs."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:width]
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
+
+
+def unpacked(said: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(said[1:]), np.uint8).reshape(said[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : said[0]] = planes.T
+    return out.view("<u4").ravel()
+
+
 class WordPairs(dict):
     """Word -> its place in two arrays of 64-bit hashes with seeds of their own, remembered up to a bound."""
 

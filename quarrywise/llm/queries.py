@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table, spread
-from . import chat_format, decontaminate, exact_dedup, katz_lm, packing, sharding, simhash, substring_dedup, toxicity, url_filter
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, katz_lm, packing, resampling, runs, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +68,29 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_lm.lm_scores(_table(spark, sf_dir, "documents"), min_pair=1)
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), RANKS), RANKS)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.col("sha256").alias("decoded_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=runs.planted))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_sharding, op3_decontamination, op4_exact_dedup, op5_url_filter, op6_simhash_dedup, op7_toxicity, op8_packing, op9_chat_format, op10_lm_scoring)
-}
+    for f in (
+        op1_substring_dedup, op2_sharding, op3_decontamination, op4_exact_dedup, op5_url_filter, op6_simhash_dedup, op7_toxicity, op8_packing, op9_chat_format, op10_lm_scoring, op11_byte_bpe, op12_periodic_runs,
+        op13_resampling,
+    )
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -176,3 +195,51 @@ scored AS (
 SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, (SELECT tokens FROM n) AS train_tokens, sum(base) AS base_score, sum(score) AS score
 FROM scored GROUP BY doc_id, held_out""",
 }
+
+_CRC_STEPS = "steps AS (SELECT list(list_reduce([n, 1, 2, 3, 4, 5, 6, 7, 8], lambda t, k: CASE WHEN t % 2 = 1 THEN xor(t // 2, 3988292384::BIGINT) ELSE t // 2 END) ORDER BY n) AS t FROM range(256) AS r(n))"
+
+
+def _crc(codes: str) -> str:
+    """SQL for the crc32 of a list of bytes; its query has the one row of _CRC_STEPS joined."""
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])))"
+
+
+ORACLE |= {
+    "op12_periodic_runs": f"""
+WITH {_CRC_STEPS},
+told AS (SELECT doc_id, text, {_crc("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} AS h FROM documents, steps),
+split AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM told),
+sized AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN g % len(w) END AS a FROM split),
+roots AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM sized),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM roots),
+places AS (SELECT doc_id, w, q, unnest(range(0, n - 2 * q + 1, q)) AS c FROM (SELECT doc_id, w, n, unnest(range(1, n // {runs.TIMES} + 1)) AS q FROM d)),
+periods AS MATERIALIZED (SELECT DISTINCT doc_id, q FROM places WHERE w[c + 1] = w[c + q + 1] AND w[c + 1 : c + q] = w[c + q + 1 : c + 2 * q]),
+agree AS (SELECT doc_id, q, i FROM (SELECT doc_id, q, w, unnest(range(0, n - q)) AS i FROM periods JOIN d USING (doc_id)) WHERE w[i + 1] = w[i + q + 1]),
+spans AS (SELECT doc_id, q, min(i) AS a, max(i) + 1 AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM agree) GROUP BY doc_id, q, k),
+longs AS MATERIALIZED (SELECT * FROM spans WHERE b - a + q >= greatest({runs.LEAST}, {runs.TIMES} * q)),
+runs AS MATERIALIZED (SELECT doc_id, a AS start, b - a + q AS length, q AS period FROM longs x WHERE NOT EXISTS (SELECT 1 FROM longs y WHERE y.doc_id = x.doc_id AND y.q < x.q AND x.q % y.q = 0 AND y.a <= x.a AND y.b + y.q >= x.b + x.q)),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DECIMAL(38, 0) / period DESC, start, period) = 1),
+per AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS said FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(per.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_resampling": f"""
+WITH {_CRC_STEPS},
+words AS (
+    SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents
+    UNION ALL SELECT 'b', NULL, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark),
+bytes AS (SELECT w, list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT) AS codes FROM (SELECT DISTINCT w FROM words)),
+buckets AS (SELECT w, {_crc("codes")} % {resampling.BUCKETS} AS bucket FROM bytes, steps),
+counts AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM words JOIN buckets USING (w) GROUP BY bucket),
+totals AS (SELECT count(*) FILTER (kind = 'd') + {resampling.BUCKETS} AS s_all, count(*) FILTER (kind = 'b') + {resampling.BUCKETS} AS t_all FROM words),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * s_all) / ((s + 1)::DOUBLE * t_all)))::BIGINT AS gain FROM counts, totals),
+means AS (SELECT id AS doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM words JOIN buckets USING (w) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM documents LEFT JOIN means USING (doc_id)),
+fit AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score::BIGINT AS score, CASE WHEN r <= {resampling.PERCENT} * n // 100 THEN r END::BIGINT AS rank FROM scored LEFT JOIN fit USING (doc_id)""",
+}
