@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import normal, text
+from .contained import containing
 from .search import broadcast_if_small
 
 
@@ -13,23 +14,27 @@ def term_hits(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """rows (id, text), queries (query_id, text): (query_id, id, score), 1 for each word of the query of more than two letters that the text contains, also inside words, and 3 for the whole query.
 
     A word of the query that occurs in a text occurs inside one of its words. So the distinct words of all
-    texts, which are few, are held against the query's, and texts are found by their words; whole queries are
-    looked for only in texts that have all of their words. Queries without such words are held against all
-    texts. Nothing is left out.
+    texts are indexed by their runs of characters, the query's are looked up there, and texts are found by their words; whole queries are
+    looked for only in texts that have all of their words. Queries without such words are looked up in the texts in
+    the same way. Nothing is left out.
     """
     low = rows.select("id", F.lower(text(F.col("text"))).alias("low"))
     words = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0)))
     asked = queries.select("query_id", F.lower(text(F.col("text"))).alias("asked")).withColumn("terms", F.filter(words(F.col("asked")), lambda w: F.length(w) > 2))
     terms = asked.select("query_id", F.explode("terms").alias("term"))
     posted = low.select("id", F.explode(words(F.col("low"))).alias("word"))
-    held = posted.select("word").distinct().crossJoin(broadcast_if_small(terms.select("term").distinct())).where(F.contains("word", "term"))
+    vocabulary = posted.select(F.col("word").alias("id"), F.col("word").alias("low")).distinct()
+    held = containing(vocabulary, terms.select(F.col("term").alias("needle"))).select(F.col("id").alias("word"), F.col("needle").alias("term"))
     found = posted.join(held, "word").select("id", "term").distinct()
     n = found.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").cast("int").alias("n"))
     full = n.join(asked.select("query_id", "asked", F.size("terms").alias("all")), "query_id")
     whole = full.where("n = all").join(low, "id").select("query_id", "id", F.when(F.contains("low", "asked"), 3).otherwise(0).alias("bonus"))
     scored = full.join(whole, ["query_id", "id"], "left").select("query_id", "id", (F.col("n") + F.coalesce("bonus", F.lit(0))).alias("score"))
-    bare = low.crossJoin(broadcast_if_small(asked.where(F.size("terms") == 0).select("query_id", "asked"))).where(F.contains("low", "asked")).select("query_id", "id", F.lit(3).alias("score"))
-    return scored.unionByName(bare)
+    short = asked.where(F.size("terms") == 0).select("query_id", "asked")
+    if short.isEmpty():
+        return scored
+    bare = containing(low, short.select(F.col("asked").alias("needle"))).join(short, F.col("needle") == F.col("asked"))
+    return scored.unionByName(bare.select("query_id", "id", F.lit(3).alias("score")))
 
 
 def claim_search(claims: DataFrame, queries: DataFrame, limit: int = 20, stance: str | None = None) -> DataFrame:
@@ -71,14 +76,16 @@ def compared_claims(claims: DataFrame, queries: DataFrame, limit: int = 20) -> t
 def concept_search(concepts: DataFrame, queries: DataFrame, limit: int = 20, code: str | None = None) -> DataFrame:
     """concepts (concept_id, name, said: all of its fields as one text, primary_class): (query_id, concept_id, name, score, rank); 0.7 if the fields have the whole normal query, and 0.1, 0.5 at most, for each of its words among theirs.
 
-    Concepts with a word of the query are found by it; the whole query as a part of words is looked for in all.
+    Concepts with a word of the query are found by it, and those that have the whole query, as a part of words too, by the query's rarest run of characters.
     """
     mine = concepts if code is None else concepts.where(F.col("primary_class") == code)
     rows = mine.select("concept_id", "name", normal(F.col("said")).alias("low"))
     asked = queries.select("query_id", normal(F.col("text")).alias("asked")).where("asked <> ''")
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    met = rows.crossJoin(broadcast_if_small(asked)).select("query_id", "concept_id", "name", F.contains("low", "asked").alias("whole"), F.size(F.array_intersect(words(F.col("low")), words(F.col("asked")))).alias("n"))
-    score = F.round(F.least(F.lit(1.0), F.when(F.col("whole"), 0.7).otherwise(0.0) + F.least(F.lit(0.5), 0.1 * F.col("n"))), 3)
+    words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
+    shared = asked.select("query_id", words(F.col("asked")).alias("word")).join(rows.select("concept_id", words(F.col("low")).alias("word")), "word").groupBy("query_id", "concept_id").agg(F.count("*").alias("n"))
+    held = containing(rows.select(F.col("concept_id").alias("id"), "low"), asked.select(F.col("asked").alias("needle"))).join(asked, F.col("needle") == F.col("asked"))
+    met = shared.join(held.select("query_id", F.col("id").alias("concept_id"), F.lit(True).alias("whole")), ["query_id", "concept_id"], "full").join(rows.select("concept_id", "name"), "concept_id")
+    score = F.round(F.least(F.lit(1.0), F.when(F.col("whole"), 0.7).otherwise(0.0) + F.least(F.lit(0.5), 0.1 * F.coalesce("n", F.lit(0)))), 3)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "concept_id"))
     return met.withColumn("score", score).where("score > 0").withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "concept_id", "name", "score", "rank")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import alias, canonical_title, file_name, normal, slug, text, title_author_key
+from .contained import said_phrases
 from .search import broadcast_if_small
 
 
@@ -140,14 +141,17 @@ def route(queries: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
     """queries (query_id, text), names (alias, label): the aliases each query points at.
 
     An alias that the query contains adds 4; words that the query shares with its label add 0.6 each, 2.5 at
-    most. Kept are those with 2.5, and 0.55 of the best, at least; up to `most`, by score and then name.
+    most. Kept are those with 2.5, and 0.55 of the best, at least; up to `most`, by score and then name. Aliases are looked up
+    by their first word, labels by their words; an alias without words is never said.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(text(c)), F.lit(r"[a-z0-9][a-z0-9'\-]{2,}"), F.lit(0)))
-    pairs = queries.select("query_id", F.concat(F.lit(" "), F.regexp_replace(squeezed_lower(F.col("text")), "[^a-z0-9]+", " "), F.lit(" ")).alias("q"), words(F.col("text")).alias("qw")).crossJoin(
-        broadcast_if_small(names.select("alias", F.regexp_replace(squeezed_lower(F.replace("alias", F.lit("_"), F.lit(" "))), "[^a-z0-9]+", " ").alias("a"), words(F.col("label")).alias("aw")))
-    )
-    score = F.when(F.contains("q", F.concat(F.lit(" "), "a", F.lit(" "))), 4.0).otherwise(0.0) + F.least(F.lit(2.5), 0.6 * F.size(F.array_intersect("qw", "aw")))
-    rows = pairs.select("query_id", "alias", F.round(score, 2).alias("score")).where("score > 0")
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text(c)), F.lit(r"[a-z0-9][a-z0-9'\-]{2,}"), F.lit(0))))
+    plain = lambda c: F.regexp_replace(squeezed_lower(c), "[^a-z0-9]+", " ")
+    asked = queries.select("query_id", F.concat(F.lit(" "), plain(F.col("text")), F.lit(" ")).alias("q"))
+    known = names.select("alias", plain(F.replace("alias", F.lit("_"), F.lit(" "))).alias("phrase"))
+    said = said_phrases(asked, known).join(broadcast_if_small(known), "phrase").join(asked, "query_id").where(F.contains("q", F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    shared = queries.select("query_id", words(F.col("text")).alias("word")).join(broadcast_if_small(names.select("alias", words(F.col("label")).alias("word"))), "word").groupBy("query_id", "alias").agg(F.count("*").alias("n"))
+    parts = said.select("query_id", "alias", F.lit(4.0).alias("score")).unionByName(shared.select("query_id", "alias", F.least(F.lit(2.5), 0.6 * F.col("n")).alias("score")))
+    rows = parts.groupBy("query_id", "alias").agg(F.round(F.sum("score"), 2).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id")
     rows = rows.withColumn("best", F.max("score").over(w)).where(F.col("score") >= F.greatest(F.lit(2.5), 0.55 * F.col("best")))
     rows = rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "alias"))).where(F.col("rank") <= most)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import alias, text
+from ..sources.tables import materialize
+from .contained import containing
 from .search import broadcast_if_small
 
 #: Fixed: domains that a query's terms point at, with the aliases and classes they stand for.
@@ -69,6 +71,18 @@ def has_term(query: Column, term: Column) -> Column:
     return (t != "") & F.when(several, F.contains(query, t) | F.contains(query, F.translate(t, "-", " "))).otherwise(alone)
 
 
+def terms_met(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """queries (query_id, q), normal ones, and terms (term): (query_id, term), every pair of which has_term holds. Terms of one plain word are looked up by the query's words, others by their characters; each pair that is found is then tested."""
+    known = terms.select("term").distinct().withColumn("t", normal_query(F.col("term"))).where("t <> ''")
+    plain = known.where(F.col("t").rlike(r"(?U)^\w+$"))
+    texts = queries.select(F.col("q").alias("id"), F.col("q").alias("low")).distinct()
+    word = texts.select(F.col("id").alias("q"), F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))).alias("t")).join(broadcast_if_small(plain), "t").select("q", "term")
+    other = known.where(~F.col("t").rlike(r"(?U)^\w+$")).withColumn("needle", F.explode(F.array_distinct(F.array("t", F.translate("t", "-", " ")))))
+    held = containing(texts, other.select("needle")).join(other.select("needle", "term"), "needle").select(F.col("id").alias("q"), "term").distinct()
+    met = word.unionByName(held).where(has_term(F.col("q"), F.col("term")))
+    return queries.select("query_id", "q").join(met, "q").select("query_id", "term").distinct()
+
+
 def hint_hits(query: Column) -> dict[str, Column]:
     """For each domain how many of its terms the normal query has. Terms are fixed, so their patterns are too."""
     has = lambda t: F.contains(query, F.lit(t)) if " " in t else query.rlike(rf"(?U)\b{t}\b")
@@ -81,18 +95,20 @@ def route_queries(queries: DataFrame, classes: DataFrame, aliases: DataFrame, mo
     An alias gets 4 if the query has it; for each of its classes 0.6 for each word of the label, 2.5 at most, and
     2.5 for each of the class's own aliases that the query has; a domain gets 3 and 1.2 for each of
     its terms. Those with 2.5, and 0.55 of the best, stay, up to `most`; a domain brings its own aliases along. Classes are
-    those of the domain, else the alias's primary ones. The taxonomy is broadcast if a count proves it small.
+    those of the domain, else the alias's primary ones. What a query says of the taxonomy is looked up by words and by runs of characters, never held against all of it.
     """
     asked = queries.select("query_id", normal_query(F.col("text")).alias("q"), query_words(F.col("text")).alias("words"))
-    pairs = aliases.select("alias", "primary_codes", "secondary_codes", F.posexplode_outer(F.concat("primary_codes", "secondary_codes")).alias("place", "code"))
-    known = pairs.join(classes, "code", "left").groupBy("alias", "primary_codes").agg(
-        F.collect_list(F.struct(query_words(F.col("label")).alias("words"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))).alias("of")
-    )
-    met = asked.crossJoin(broadcast_if_small(known.select(F.col("alias").alias("name"), "of")))
-    named = F.when(has_term(F.col("q"), F.translate("name", "_", " ")), 4.0).otherwise(0.0)
     spaced = lambda a: F.translate(a, "_", " ")
-    each = lambda c: F.least(F.lit(2.5), 0.6 * F.size(F.array_intersect("words", c["words"]))) + 2.5 * F.size(F.filter(c["aliases"], lambda a: has_term(F.col("q"), spaced(a))))
-    by_alias = met.select("query_id", "name", (named + F.aggregate("of", F.lit(0.0), lambda acc, c: acc + each(c))).alias("score"))
+    known = materialize(aliases.select(F.col("alias").alias("name"), "primary_codes", F.concat("primary_codes", "secondary_codes").alias("codes")).distinct())
+    # A name's classes, each as often as it has it.
+    of = known.select("name", "primary_codes", F.posexplode("codes").alias("place", "code")).join(classes.select("code", "label", "aliases"), "code")
+    own = of.select("name", F.explode(F.coalesce("aliases", F.array().cast("array<string>"))).alias("a")).select("name", spaced(F.col("a")).alias("term"))
+    named = known.select("name", spaced(F.col("name")).alias("term"))
+    met = materialize(terms_met(asked, named.select("term").unionByName(own.select("term"))))
+    labels = of.select("name", "primary_codes", "place", F.explode(query_words(F.col("label"))).alias("word"))
+    shared = asked.select("query_id", F.explode("words").alias("word")).join(broadcast_if_small(labels), "word").groupBy("query_id", "name", "primary_codes", "place").agg(F.least(F.lit(2.5), 0.6 * F.count("*")).alias("score"))
+    each = lambda terms, score: met.join(broadcast_if_small(terms), "term").select("query_id", "name", F.lit(score).alias("score"))
+    by_alias = each(named, 4.0).unionByName(each(own, 2.5)).unionByName(shared.select("query_id", "name", "score"))
     hinted = F.array(*[F.struct(F.lit(name).alias("name"), F.when(n > 0, 3.0 + 1.2 * n).otherwise(0.0).alias("score")) for name, n in hint_hits(F.col("q")).items()])
     by_hint = asked.select("query_id", F.inline(hinted))
     scores = by_alias.unionByName(by_hint).groupBy("query_id", "name").agg(F.round(F.sum("score"), 6).alias("score")).where("score > 0")
@@ -115,10 +131,31 @@ def route_queries(queries: DataFrame, classes: DataFrame, aliases: DataFrame, mo
 
 def allowed(rows: DataFrame, filters: DataFrame) -> DataFrame:
     """(query_id and rows' columns): rows that each filter (query_id, book, codes) lets through. A book is a title or book_id; codes must be the primary class or occur in secondary_class_text. A null book, and null or no codes, let all through."""
-    met = rows.crossJoin(broadcast_if_small(filters.select("query_id", F.col("book").alias("__book"), F.col("codes").alias("__codes"))))
-    book = F.col("__book").isNull() | (F.col("title") == F.col("__book")) | (F.col("book_id").cast("string") == F.col("__book"))
-    code = F.coalesce(F.size("__codes") <= 0, F.lit(True)) | F.array_contains("__codes", F.coalesce("primary_class", F.lit(""))) | F.exists("__codes", lambda c: F.contains(F.coalesce("secondary_class_text", F.lit("")), c))
-    return met.where(book & code).drop("__book", "__codes")
+    of = filters.select(F.col("query_id").alias("__query"), F.col("book").alias("__book"), F.when(F.size("codes") > 0, F.array_distinct("codes")).alias("__codes"))
+    kinds = rows.select(F.coalesce("primary_class", F.lit("")).alias("__primary"), F.coalesce("secondary_class_text", F.lit("")).alias("__second")).distinct()
+    asked = of.where("__codes IS NOT NULL").select("__query", F.explode("__codes").alias("__code"))
+    held = containing(kinds.select(F.col("__second").alias("id"), F.col("__second").alias("low")), asked.select(F.col("__code").alias("needle"))).select(F.col("id").alias("__second"), F.col("needle").alias("__code"))
+    first = kinds.join(asked, F.col("__primary") == F.col("__code")).select("__query", "__primary", "__second")
+    second = kinds.join(held, "__second").join(asked, "__code").select("__query", "__primary", "__second")
+    # The classes that fit a filter, few beside the rows that have them.
+    fits = first.unionByName(second).distinct()
+    mine = rows.withColumn("__primary", F.coalesce("primary_class", F.lit(""))).withColumn("__second", F.coalesce("secondary_class_text", F.lit("")))
+    codes = fits.join(of.where("__book IS NULL").select("__query"), "__query")
+    parts = [mine.join(broadcast_if_small(codes), ["__primary", "__second"])]
+    named = of.where("__book IS NOT NULL")
+    titled = mine.join(broadcast_if_small(named), F.col("title") == F.col("__book"))
+    numbered = mine.join(broadcast_if_small(named), (F.col("book_id").cast("string") == F.col("__book")) & ~F.col("title").eqNullSafe(F.col("__book")))
+    books = titled.unionByName(numbered)
+    parts.append(books.where("__codes IS NULL"))
+    parts.append(books.where("__codes IS NOT NULL").join(broadcast_if_small(fits), ["__query", "__primary", "__second"], "left_semi"))
+    free = of.where("__book IS NULL AND __codes IS NULL").select("__query")
+    if not free.isEmpty():  # these let every row through, so their pairs are the result
+        parts.append(mine.join(broadcast_if_small(free), F.lit(True)))
+    out = None
+    for p in parts:
+        p = p.select(F.col("__query").alias("query_id"), *rows.columns)
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 def aliases_named(names: Iterable[str], aliases: DataFrame) -> DataFrame:
