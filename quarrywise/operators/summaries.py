@@ -54,42 +54,51 @@ def chapter_place(title: Column) -> Column:
     return F.coalesce(number, F.try_element_at(known, F.lower(title)), F.lit(5_000))
 
 
-def _sections(books: DataFrame) -> DataFrame:
-    rows = unrolled(with_sections(books, "text", "s"), ("book_id",), "s", "at")
-    return rows.select("book_id", "at", F.col("s.heading_path").alias("heading_path"), F.col("s.text").alias("text"))
+def _chapters(books: DataFrame) -> DataFrame:
+    """(book_id, at, title, paths, combined, n_sections): each book's chapters in the order in which they first come, put together in the row that holds the book. A chapter is the sections below one first heading, wherever they stand."""
+    rows = with_sections(books.select("book_id", "text"), "text", "s")
+    rows = rows.withColumn("__named", F.transform("s", lambda s: F.struct(chapter_of(s["heading_path"]).alias("title"), s["heading_path"].alias("path"), s["text"].alias("text")))).drop("s", "text")
+    rows = rows.withColumn("__titles", F.array_distinct(F.transform("__named", lambda s: s["title"])))
+    own = lambda t: F.filter("__named", lambda s: s["title"] == t)
+    whole = lambda t, of: F.struct(t.alias("title"), F.transform(of, lambda s: s["path"]).alias("paths"), F.array_join(F.transform(of, lambda s: s["text"]), "\n\n").alias("combined"), F.size(of).cast("long").alias("n_sections"))
+    rows = rows.withColumn("__chapters", F.transform("__titles", lambda t: F.transform(F.array(own(t)), lambda of: whole(t, of))[0]))
+    return unrolled(rows, ("book_id",), "__chapters", "at").select("book_id", "at", "__chapters.*")
 
 
-def _in_order(value: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value])
+def _listed(words: DataFrame) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"])
 
 
 def chapter_summaries(books: DataFrame) -> DataFrame:
-    """books (book_id, text): for each chapter, in order, its summary, ideas, headings, keywords and sizes. A chapter is the sections below one first heading, wherever they stand."""
-    rows = _sections(books).withColumn("title", chapter_of(F.col("heading_path")))
-    grouped = rows.groupBy("book_id", "title").agg(_in_order("heading_path").alias("paths"), F.array_join(_in_order("text"), "\n\n").alias("combined"), F.count("*").alias("n_sections"))
-    words = keywords(grouped.select(F.struct("book_id", "title").alias("book_id"), F.col("combined").alias("text")), 12)
-    listed = words.groupBy(F.col("book_id.book_id").alias("book_id"), F.col("book_id.title").alias("title")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
+    """books (book_id, text): for each chapter, in order, its summary, ideas, headings, keywords and sizes. Texts stay in the row that holds the book; what is shuffled is words, and what is said of a chapter."""
+    rows = _chapters(books)
+    words = keywords(rows.select(F.struct("book_id", "title").alias("book_id"), F.col("combined").alias("text")), 12)
+    listed = words.groupBy(F.col("book_id.book_id").alias("book_id"), F.col("book_id.title").alias("title")).agg(_listed(words).alias("keywords"))
     heads = F.transform(F.filter("paths", lambda p: F.size(path_parts(p)) > 1), lambda p: F.element_at(path_parts(p), -1))
     order = F.row_number().over(Window.partitionBy("book_id").orderBy(chapter_place(F.col("title")), F.lower("title"), "title"))
-    return grouped.join(listed, ["book_id", "title"], "left").select(
-        "book_id", order.alias("place"), slug(F.col("title")).alias("chapter_id"), "title", first_paragraph(F.col("combined"), 550).alias("summary"), heading_ideas(F.col("paths"), None, 8).alias("ideas"),
-        F.slice(F.array_distinct(heads), 1, 20).alias("headings"), F.coalesce("keywords", F.array().cast(_NONE)).alias("keywords"), "n_sections", F.length("combined").cast("long").alias("n_chars"),
+    said = rows.select(
+        "book_id", "title", slug(F.col("title")).alias("chapter_id"), first_paragraph(F.col("combined"), 550).alias("summary"), heading_ideas(F.col("paths"), None, 8).alias("ideas"),
+        F.slice(F.array_distinct(heads), 1, 20).alias("headings"), "n_sections", F.length("combined").cast("long").alias("n_chars"),
+    )
+    return said.join(listed, ["book_id", "title"], "left").select(
+        "book_id", order.alias("place"), "chapter_id", "title", "summary", "ideas", "headings", F.coalesce("keywords", F.array().cast(_NONE)).alias("keywords"), "n_sections", "n_chars",
     )
 
 
 def book_summaries(books: DataFrame) -> DataFrame:
-    """books (book_id, text, topics, routing_aliases): thesis, ideas, what the book is best for, keywords and number of chapters."""
-    rows = _sections(books).withColumn("chapter", chapter_of(F.col("heading_path")))
-    grouped = rows.groupBy("book_id").agg(_in_order("heading_path").alias("paths"), F.array_join(_in_order("text"), "\n\n").alias("combined"), F.countDistinct("chapter").alias("n_chapters"))
-    words = keywords(grouped.select("book_id", F.col("combined").alias("text")), 20)
-    listed = words.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
+    """books (book_id, text, topics, routing_aliases): thesis, ideas, what the book is best for, keywords and number of chapters. Sections are put together in the row that holds the book."""
     none = F.array().cast(_NONE)
-    whole = books.select("book_id", F.coalesce("topics", none).alias("topics"), F.coalesce("routing_aliases", none).alias("routing_aliases")).join(grouped, "book_id", "left").join(listed, "book_id", "left")
-    whole = whole.withColumn("ideas", heading_ideas(F.coalesce("paths", none), F.col("topics"), 12)).withColumn("keywords", F.coalesce("keywords", none))
+    rows = with_sections(books.select("book_id", F.coalesce("topics", none).alias("topics"), F.coalesce("routing_aliases", none).alias("routing_aliases"), "text"), "text", "s")
+    rows = rows.withColumn("paths", F.transform("s", lambda s: s["heading_path"])).withColumn("combined", F.array_join(F.transform("s", lambda s: s["text"]), "\n\n")).drop("s", "text")
+    listed = keywords(rows.select("book_id", F.col("combined").alias("text")), 20)
+    listed = listed.groupBy("book_id").agg(_listed(listed).alias("keywords"))
+    n = F.size(F.array_distinct(F.transform("paths", chapter_of))).cast("long")
+    said = rows.select("book_id", "topics", "routing_aliases", first_paragraph(F.col("combined"), 750).alias("thesis"), heading_ideas(F.col("paths"), F.col("topics"), 12).alias("ideas"), n.alias("n_chapters"))
+    whole = said.join(listed, "book_id", "left").withColumn("keywords", F.coalesce("keywords", none))
     named = F.transform(F.concat("routing_aliases", "topics", "ideas"), lambda x: stripped(F.translate(x, "_", " ")))
     every = F.concat(named, F.slice("keywords", 1, 10))
     best = F.slice(first_of_each(every, F.transform(every, alias)), 1, 10)
-    return whole.select("book_id", first_paragraph(F.coalesce("combined", F.lit("")), 750).alias("thesis"), "ideas", best.alias("best_for"), "keywords", F.coalesce("n_chapters", F.lit(0)).cast("long").alias("n_chapters"))
+    return whole.select("book_id", "thesis", "ideas", best.alias("best_for"), "keywords", "n_chapters")
 
 
 def themes(rows: DataFrame, limit: int = 16) -> DataFrame:
