@@ -185,3 +185,26 @@ def heading_report(levels: Column) -> Column:
     top = F.array_min(levels)
     found = F.array_compact(F.array(F.when(some & (F.coalesce(F.try_element_at(levels, F.lit(1)), F.lit(0)) > 2), F.lit("first_heading_is_deep")), F.when(some & jump, F.lit("heading_level_jump")), F.when(~some, F.lit("no_markdown_headings"))))
     return F.struct(F.size(levels).cast("long").alias("n"), F.size(F.filter(levels, lambda x: x == top)).cast("long").alias("n_top"), found.alias("issues"), F.when((F.size(found) > 0) | (F.size(levels) < 2), "WARN").otherwise("OK").alias("status"))
+
+
+def line_count(x: Column) -> Column:
+    """How many lines a text has: ends of lines, and what follows the last of them."""
+    lines = F.split(text(x), r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]", -1)
+    return F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0)
+
+
+def parse_check(files: DataFrame, name: str, empty_is_wrong: bool = False) -> DataFrame:
+    """(check, status, checked, broken, first): whether all of files (path, text), JSON ones, parse. FAIL if one doesn't, WARN if there are none.
+
+    If empty_is_wrong, a file must hold a mapping or a list, as a configuration does. first is the least path of those
+    that are broken. Files are judged where they are; only sums meet.
+    """
+    bare = F.trim(text(F.col("text")))
+    parsed = F.try_parse_json(bare)
+    wrong = parsed.isNull()
+    if empty_is_wrong:
+        wrong = wrong | ~F.substring(bare, 1, 1).isin("{", "[")
+    rows = files.select("path", F.coalesce(wrong, F.lit(True)).alias("wrong"))
+    sums = rows.agg(F.count("*").alias("checked"), F.count_if("wrong").alias("broken"), F.min(F.when(F.col("wrong"), F.col("path"))).alias("first"))
+    status = F.when(F.col("checked") == 0, "WARN").when(F.col("broken") > 0, "FAIL").otherwise("OK")
+    return sums.select(F.lit(name).alias("check"), status.alias("status"), "checked", "broken", "first")

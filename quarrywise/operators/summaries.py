@@ -101,13 +101,17 @@ def book_summaries(books: DataFrame) -> DataFrame:
     return whole.select("book_id", "thesis", "ideas", best.alias("best_for"), "keywords", "n_chapters")
 
 
+def plain_text(x: Column) -> Column:
+    """A text without marks of code, images, links and emphasis, on one line."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text(x), "`([^`]+)`", "$1"), r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]+)\]\([^)]*\)", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[*_~>#{}\[\]()]", " "), r"(?U)\s+", " "))
+
+
 def themes(rows: DataFrame, limit: int = 16) -> DataFrame:
     """rows (id, text, query) as (id, themes): phrases of fixed forms, each occurrence worth 1 and 0.75 for each word of the query in it, and words, worth 0.3, or 1.3 if the query has them; the best first, ties by letter. Once six are found, words must be the query's."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text(F.col("text")), "`([^`]+)`", "$1"), r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]+)\]\([^)]*\)", "$1")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[*_~>#{}\[\]()]", " "), r"(?U)\s+", " "))
     stop = F.array(*[F.lit(w) for w in THEME_STOP_WORDS])
     asked = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text(F.col("query"))), F.lit(r"[a-z][a-z0-9\-]{2,}"), F.lit(0))), stop)
-    base = rows.select("id", F.lower(plain).alias("low"), asked.alias("asked"))
+    base = rows.select("id", F.lower(plain_text(F.col("text"))).alias("low"), asked.alias("asked"))
     own = lambda p: F.filter(F.split(p, " "), lambda w: ~F.array_contains(stop, w))
     phrases = F.concat(*[F.transform(F.regexp_extract_all("low", F.lit(f), F.lit(0)), lambda p: F.btrim(F.regexp_replace(p, r"(?U)\s+", " "), F.lit(" -.,:;"))) for f in THEME_FORMS])
     good = F.filter(phrases, lambda p: (F.length(p) >= 6) & (F.size(own(p)) > 0) & ~p.rlike("chapter|summary|unknown"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import contains_any, normal
+from ..functions.strings import contains_any, excerpt, normal, stripped
 from ..operators.knowledge import term_hits
+from ..operators.summaries import plain_text
 
 #: Fixed: what a hit in the summary of a book and of a chapter and in a chunk is worth, and a search hit in a reading list.
 SUMMARY, CHAPTER, CHUNK, SEARCH = 1.25, 1.0, 0.75, 3.0
@@ -83,3 +84,31 @@ def passage_search(passages: DataFrame, queries: DataFrame, limit: int = 10) ->
     scored = term_hits(passages, queries).select("query_id", "id", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def reasons(said: Column) -> Column:
+    """Reasons without blanks around, each once, in the order in which they first come; blank ones leave."""
+    return F.array_distinct(F.filter(F.transform(said, stripped), lambda r: r != ""))
+
+
+def topic_map_records(summaries: DataFrame, chunk_hits: DataFrame, books: DataFrame, limit: int = 8) -> DataFrame:
+    """(query_id, rank, book_id, title, score, reasons, summary_hits, chunk_hits): the books of a topic map with why they are in it.
+
+    summaries (query_id, book_id, rank, score, level, chapter_title, text) and chunk_hits (query_id, book_id, rank, chunk_id,
+    heading, citation, text) are what searches found, so their lists are as short as those searches' limits; texts are cut to excerpts before
+    they are moved. books (book_id, title) name them, those that it hasn't by their id. Ties go to the title, then the id.
+    """
+    worth = F.greatest(F.lit(0.0), F.col("score")) * F.when(F.col("level") == "chapter", CHAPTER).otherwise(SUMMARY)
+    hit = F.struct("rank", "level", F.round(F.greatest(F.lit(0.0), F.col("score")), 4).alias("score"), "chapter_title", excerpt(plain_text(F.col("text")), 500).alias("excerpt"))
+    whole = summaries.select("query_id", "book_id", worth.alias("w"), hit.alias("h")).groupBy("query_id", "book_id").agg(F.sum("w").alias("w"), F.array_sort(F.collect_list("h")).alias("summary_hits"))
+    part = F.struct("rank", "chunk_id", F.coalesce("heading", F.lit("")).alias("heading"), "citation", excerpt(plain_text(F.col("text")), 450).alias("excerpt"))
+    parts = chunk_hits.select("query_id", "book_id", part.alias("h")).groupBy("query_id", "book_id").agg((CHUNK * F.count("*")).alias("v"), F.array_sort(F.collect_list("h")).alias("chunk_hits"))
+    both = whole.join(parts, ["query_id", "book_id"], "full").withColumn("score", F.round(F.coalesce("w", F.lit(0.0)) + F.coalesce("v", F.lit(0.0)), 4))
+    of = lambda hits, *say: F.flatten(F.transform(F.coalesce(hits, F.array()), lambda h: F.array(*[s(h) for s in say])))
+    named = lambda before, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(before), c)).otherwise("")
+    matched = of(F.col("summary_hits"), lambda h: F.concat(F.lit("matched "), h["level"], F.lit(" summary")), lambda h: named("chapter match: ", h["chapter_title"]))
+    indexed = of(F.col("chunk_hits"), lambda h: F.lit("matched indexed chunks"), lambda h: named("chunk heading: ", h["heading"]))
+    rows = both.select("query_id", "book_id", "score", reasons(F.concat(F.coalesce(matched, F.array().cast("array<string>")), F.coalesce(indexed, F.array().cast("array<string>")))).alias("reasons"), "summary_hits", "chunk_hits")
+    rows = rows.join(books.select("book_id", "title"), "book_id", "left").withColumn("title", F.coalesce("title", F.col("book_id").cast("string")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.lower("title"), "book_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "book_id", "title", "score", "reasons", "summary_hits", "chunk_hits")

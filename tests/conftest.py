@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import quarrywise.catalog_records  # noqa: E402,F401  (all queries of the catalogue are registered)
+import quarrywise.catalog_search  # noqa: E402,F401
 
 
 @pytest.fixture(scope="session")
