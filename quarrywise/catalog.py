@@ -325,7 +325,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(keyword_sql("documents", "doc_id", ASKED, 10))
 def keyword_search(spark, sf_dir):
     """BM25 over documents."""
-    return search.keyword_search(table(spark, sf_dir, "documents"), asked(spark, sf_dir), "doc_id", "text")
+    return search.keyword_search(spread(table(spark, sf_dir, "documents")), asked(spark, sf_dir), "doc_id", "text")
 
 
 VECTORS = """
@@ -605,7 +605,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, book_id)
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q = asked(spark, sf_dir)
-    whole = search.keyword_search(table(spark, sf_dir, "documents"), q, "doc_id", "text", 12).withColumnRenamed("id", "book_id")
+    whole = search.keyword_search(spread(table(spark, sf_dir, "documents")), q, "doc_id", "text", 12).withColumnRenamed("id", "book_id")
     parts = search.keyword_search(indexed(spark, sf_dir), q, "chunk_id", "text", 12)
     return whole, parts.withColumn("book_id", F.substring_index("id", "_", 1).cast("long"))
 
@@ -633,4 +633,4 @@ s AS (SELECT query_id, doc_id AS id, (len(list_filter(words, lambda w: contains(
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
 def passage_search(spark, sf_dir):
     """Documents by the terms of each benchmark item that they contain."""
-    return evidence.passage_search(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), asked(spark, sf_dir))
+    return evidence.passage_search(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text"), asked(spark, sf_dir))

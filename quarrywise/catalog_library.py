@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _NORMAL, _SLUG, ASKED, BOOKS, CHUNKS, ORACLE, VECTORS, _any, _vectors, asked, books, documents, indexed, keyword_sql, query, table
 from .operators import chunks, exports, extract, knowledge, library, metadata, near, search, summaries, taxonomy
-from .sources.tables import materialize
+from .sources.tables import materialize, spread
 
 
 def sql_list(values) -> str:
@@ -221,14 +221,14 @@ f AS (SELECT h.query_id, h.id, h.score FROM h JOIN {_CLASSED} c ON c.id = h.id W
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM f QUALIFY rank <= 10""")
 def filtered_search(spark, sf_dir):
     """Keyword search among the classes that the aliases of each query name."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.col("source").alias("title"), F.col("lang").alias("primary_class"), F.col("source").alias("secondary_class_text"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("book_id"), F.col("source").alias("title"), F.col("lang").alias("primary_class"), F.col("source").alias("secondary_class_text"), "text")
     aliases = spark.createDataFrame([("german_books", ["de"], ["src7"]), ("romance", ["fr"], ["es"])], "alias string, primary_codes array<string>, secondary_codes array<string>")
     q = asked(spark, sf_dir)
     named = q.select("query_id", F.when(F.col("query_id") % 40 == 0, "German Books").otherwise("romance").alias("alias"))
     filters = taxonomy.codes_of(named, aliases).groupBy("query_id").agg(F.collect_set("code").alias("codes")).withColumn("book", F.lit(None).cast("string"))
-    hits = search.keyword_search(docs, q, "book_id", "text", 2**31 - 1).withColumnRenamed("id", "book_id").withColumnRenamed("query_id", "asked_id")
-    met = taxonomy.allowed(hits.join(docs.drop("text"), "book_id"), filters).where("asked_id = query_id")
-    return search.top(met.select("query_id", F.col("book_id").alias("id"), "score"), 10)
+    hits = search.keyword_search(docs, q, "book_id", "text", 2**31 - 1).drop("rank")
+    met = taxonomy.allowed(docs.drop("text"), filters).select("query_id", F.col("book_id").alias("id"))
+    return search.top(hits.join(met, ["query_id", "id"]), 10)
 
 
 # --- claims, listings, records
@@ -357,7 +357,7 @@ def chapter_digests(spark, sf_dir):
 @query()
 def query_themes(spark, sf_dir):
     """Themes of documents in the light of a query."""
-    return summaries.themes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("goals and systems").alias("query")))
+    return summaries.themes(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text", F.lit("goals and systems").alias("query")))
 
 
 _EDGES = "least(1.0::DOUBLE, least(0.95::DOUBLE, 0.95::DOUBLE * w) + least(0.35::DOUBLE, 0.35::DOUBLE * a) + least(0.25::DOUBLE, 0.25::DOUBLE * c) + least(0.5::DOUBLE, 0.12::DOUBLE * n))"

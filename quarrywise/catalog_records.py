@@ -9,6 +9,7 @@ from .catalog_library import HEADED, TAXONOMY, headed
 from .functions import markdown
 from .operators import chunks, exports, formats, knowledge, library, reviews, search, summaries, taxonomy
 from .plans import evidence, packs
+from .sources.tables import spread
 
 ORACLE["graph_records"] = f"""
 SELECT book_id, other_id, '<edge source="' || book_id || '" target="' || other_id || '"><data key="score">' || score || '</data></edge>' AS graphml, '  _' || book_id || ' -- "' || score || '" --> _' || other_id AS mermaid,
@@ -260,7 +261,7 @@ SELECT query_id, book_id, round(sum(w), 4) AS score, count(*) AS n, string_agg(D
 def reading_plan(spark, sf_dir):
     """Books to read for each benchmark item, by five kinds of evidence."""
     q, chunk_rows = asked(spark, sf_dir), indexed(spark, sf_dir)
-    whole = search.keyword_search(table(spark, sf_dir, "documents"), q, "doc_id", "text", 12).withColumnRenamed("id", "book_id")
+    whole = search.keyword_search(spread(table(spark, sf_dir, "documents")), q, "doc_id", "text", 12).withColumnRenamed("id", "book_id")
     parts = search.keyword_search(chunk_rows, q, "chunk_id", "text", 12).withColumn("book_id", F.substring_index("id", "_", 1).cast("long"))
     hits = parts.where("rank <= 10")
     edges = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), (F.col("doc_id") + 1).alias("other_id"), F.lit(0.5).alias("score"))

@@ -24,7 +24,7 @@ def term_hits(rows: DataFrame, queries: DataFrame) -> DataFrame:
     terms = asked.select("query_id", F.explode("terms").alias("term"))
     posted = low.select("id", F.explode(words(F.col("low"))).alias("word"))
     vocabulary = posted.select(F.col("word").alias("id"), F.col("word").alias("low")).distinct()
-    held = containing(vocabulary, terms.select(F.col("term").alias("needle"))).select(F.col("id").alias("word"), F.col("needle").alias("term"))
+    held = containing(vocabulary, terms.select(F.col("term").alias("needle")), short=True).select(F.col("id").alias("word"), F.col("needle").alias("term"))
     found = posted.join(held, "word").select("id", "term").distinct()
     n = found.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").cast("int").alias("n"))
     full = n.join(asked.select("query_id", "asked", F.size("terms").alias("all")), "query_id")
@@ -83,7 +83,7 @@ def concept_search(concepts: DataFrame, queries: DataFrame, limit: int = 20, cod
     asked = queries.select("query_id", normal(F.col("text")).alias("asked")).where("asked <> ''")
     words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
     shared = asked.select("query_id", words(F.col("asked")).alias("word")).join(rows.select("concept_id", words(F.col("low")).alias("word")), "word").groupBy("query_id", "concept_id").agg(F.count("*").alias("n"))
-    held = containing(rows.select(F.col("concept_id").alias("id"), "low"), asked.select(F.col("asked").alias("needle"))).join(asked, F.col("needle") == F.col("asked"))
+    held = containing(rows.select(F.col("concept_id").alias("id"), "low"), asked.select(F.col("asked").alias("needle")), short=True).join(asked, F.col("needle") == F.col("asked"))
     met = shared.join(held.select("query_id", F.col("id").alias("concept_id"), F.lit(True).alias("whole")), ["query_id", "concept_id"], "full").join(rows.select("concept_id", "name"), "concept_id")
     score = F.round(F.least(F.lit(1.0), F.when(F.col("whole"), 0.7).otherwise(0.0) + F.least(F.lit(0.5), 0.1 * F.coalesce("n", F.lit(0)))), 3)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "concept_id"))

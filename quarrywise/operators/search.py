@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 K1, B, FUSION = 1.2, 0.75, 60
 #: Vectors in a block of queries and of rows; scores of a pair of blocks are one small matrix.
 BLOCK = 2048
@@ -34,9 +36,9 @@ def postings(rows: DataFrame, id_col: str, text_col: str, wanted: DataFrame | No
 
 
 def keyword_search(rows: DataFrame, queries: DataFrame, id_col: str, text_col: str, limit: int = 10) -> DataFrame:
-    """(query_id, id, score, rank) by BM25 for queries (query_id, text). Only terms that a query has are counted; ties go to the lesser id."""
+    """(query_id, id, score, rank) by BM25 for queries (query_id, text). Only terms that a query has are counted, and texts are split once; ties go to the lesser id."""
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = postings(rows, id_col, text_col, broadcast_if_small(asked.select("term").distinct()))
+    wanted = materialize(postings(rows, id_col, text_col, broadcast_if_small(asked.select("term").distinct())))
     size = rows.agg(F.count("*").alias("n"), F.avg(n_terms(F.col(text_col))).alias("mean"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(size)).select("term", "mean", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -73,12 +73,12 @@ def has_term(query: Column, term: Column) -> Column:
 
 def terms_met(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """queries (query_id, q), normal ones, and terms (term): (query_id, term), every pair of which has_term holds. Terms of one plain word are looked up by the query's words, others by their characters; each pair that is found is then tested."""
-    known = terms.select("term").distinct().withColumn("t", normal_query(F.col("term"))).where("t <> ''")
+    known = materialize(terms.select("term").distinct().withColumn("t", normal_query(F.col("term"))).where("t <> ''"))
     plain = known.where(F.col("t").rlike(r"(?U)^\w+$"))
     texts = queries.select(F.col("q").alias("id"), F.col("q").alias("low")).distinct()
-    word = texts.select(F.col("id").alias("q"), F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))).alias("t")).join(broadcast_if_small(plain), "t").select("q", "term")
+    word = texts.select(F.col("id").alias("q"), F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))).alias("t")).join(plain, "t").select("q", "term")
     other = known.where(~F.col("t").rlike(r"(?U)^\w+$")).withColumn("needle", F.explode(F.array_distinct(F.array("t", F.translate("t", "-", " ")))))
-    held = containing(texts, other.select("needle")).join(other.select("needle", "term"), "needle").select(F.col("id").alias("q"), "term").distinct()
+    held = containing(texts, other.select("needle"), short=True).join(other.select("needle", "term"), "needle").select(F.col("id").alias("q"), "term").distinct()
     met = word.unionByName(held).where(has_term(F.col("q"), F.col("term")))
     return queries.select("query_id", "q").join(met, "q").select("query_id", "term").distinct()
 
@@ -106,8 +106,8 @@ def route_queries(queries: DataFrame, classes: DataFrame, aliases: DataFrame, mo
     named = known.select("name", spaced(F.col("name")).alias("term"))
     met = materialize(terms_met(asked, named.select("term").unionByName(own.select("term"))))
     labels = of.select("name", "primary_codes", "place", F.explode(query_words(F.col("label"))).alias("word"))
-    shared = asked.select("query_id", F.explode("words").alias("word")).join(broadcast_if_small(labels), "word").groupBy("query_id", "name", "primary_codes", "place").agg(F.least(F.lit(2.5), 0.6 * F.count("*")).alias("score"))
-    each = lambda terms, score: met.join(broadcast_if_small(terms), "term").select("query_id", "name", F.lit(score).alias("score"))
+    shared = asked.select("query_id", F.explode("words").alias("word")).join(labels, "word").groupBy("query_id", "name", "primary_codes", "place").agg(F.least(F.lit(2.5), 0.6 * F.count("*")).alias("score"))
+    each = lambda terms, score: met.join(terms, "term").select("query_id", "name", F.lit(score).alias("score"))
     by_alias = each(named, 4.0).unionByName(each(own, 2.5)).unionByName(shared.select("query_id", "name", "score"))
     hinted = F.array(*[F.struct(F.lit(name).alias("name"), F.when(n > 0, 3.0 + 1.2 * n).otherwise(0.0).alias("score")) for name, n in hint_hits(F.col("q")).items()])
     by_hint = asked.select("query_id", F.inline(hinted))
@@ -132,25 +132,28 @@ def route_queries(queries: DataFrame, classes: DataFrame, aliases: DataFrame, mo
 def allowed(rows: DataFrame, filters: DataFrame) -> DataFrame:
     """(query_id and rows' columns): rows that each filter (query_id, book, codes) lets through. A book is a title or book_id; codes must be the primary class or occur in secondary_class_text. A null book, and null or no codes, let all through."""
     of = filters.select(F.col("query_id").alias("__query"), F.col("book").alias("__book"), F.when(F.size("codes") > 0, F.array_distinct("codes")).alias("__codes"))
-    kinds = rows.select(F.coalesce("primary_class", F.lit("")).alias("__primary"), F.coalesce("secondary_class_text", F.lit("")).alias("__second")).distinct()
-    asked = of.where("__codes IS NOT NULL").select("__query", F.explode("__codes").alias("__code"))
-    held = containing(kinds.select(F.col("__second").alias("id"), F.col("__second").alias("low")), asked.select(F.col("__code").alias("needle"))).select(F.col("id").alias("__second"), F.col("needle").alias("__code"))
-    first = kinds.join(asked, F.col("__primary") == F.col("__code")).select("__query", "__primary", "__second")
-    second = kinds.join(held, "__second").join(asked, "__code").select("__query", "__primary", "__second")
-    # The classes that fit a filter, few beside the rows that have them.
-    fits = first.unionByName(second).distinct()
+    has = of.agg(*[F.coalesce(F.bool_or(c), F.lit(False)) for c in (F.col("__book").isNotNull(), F.col("__codes").isNotNull(), F.col("__book").isNull() & F.col("__codes").isNull())]).first()
     mine = rows.withColumn("__primary", F.coalesce("primary_class", F.lit(""))).withColumn("__second", F.coalesce("secondary_class_text", F.lit("")))
-    codes = fits.join(of.where("__book IS NULL").select("__query"), "__query")
-    parts = [mine.join(broadcast_if_small(codes), ["__primary", "__second"])]
-    named = of.where("__book IS NOT NULL")
-    titled = mine.join(broadcast_if_small(named), F.col("title") == F.col("__book"))
-    numbered = mine.join(broadcast_if_small(named), (F.col("book_id").cast("string") == F.col("__book")) & ~F.col("title").eqNullSafe(F.col("__book")))
-    books = titled.unionByName(numbered)
-    parts.append(books.where("__codes IS NULL"))
-    parts.append(books.where("__codes IS NOT NULL").join(broadcast_if_small(fits), ["__query", "__primary", "__second"], "left_semi"))
-    free = of.where("__book IS NULL AND __codes IS NULL").select("__query")
-    if not free.isEmpty():  # these let every row through, so their pairs are the result
-        parts.append(mine.join(broadcast_if_small(free), F.lit(True)))
+    parts, fits = [mine.withColumn("__query", F.lit(None).cast(filters.schema["query_id"].dataType)).limit(0)], None
+    if has[1]:
+        # The classes that fit a filter, few beside the rows that have them.
+        kinds = materialize(mine.select("__primary", "__second").distinct())
+        asked = of.where("__codes IS NOT NULL").select("__query", F.explode("__codes").alias("__code"))
+        held = containing(kinds.select(F.col("__second").alias("id"), F.col("__second").alias("low")), asked.select(F.col("__code").alias("needle")), short=True).select(F.col("id").alias("__second"), F.col("needle").alias("__code"))
+        first = kinds.join(asked, F.col("__primary") == F.col("__code")).select("__query", "__primary", "__second")
+        second = kinds.join(held, "__second").join(asked, "__code").select("__query", "__primary", "__second")
+        fits = materialize(first.unionByName(second).distinct())
+        parts.append(mine.join(fits.join(of.where("__book IS NULL").select("__query"), "__query"), ["__primary", "__second"]))
+    if has[0]:
+        named = of.where("__book IS NOT NULL")
+        titled = mine.join(broadcast_if_small(named), F.col("title") == F.col("__book"))
+        numbered = mine.join(broadcast_if_small(named), (F.col("book_id").cast("string") == F.col("__book")) & ~F.col("title").eqNullSafe(F.col("__book")))
+        books = titled.unionByName(numbered)
+        parts.append(books.where("__codes IS NULL"))
+        if fits is not None:
+            parts.append(books.where("__codes IS NOT NULL").join(fits, ["__query", "__primary", "__second"], "left_semi"))
+    if has[2]:  # these let every row through, so their pairs are the result
+        parts.append(mine.join(broadcast_if_small(of.where("__book IS NULL AND __codes IS NULL").select("__query")), F.lit(True)))
     out = None
     for p in parts:
         p = p.select(F.col("__query").alias("query_id"), *rows.columns)
