@@ -25,8 +25,8 @@ def containing(rows: DataFrame, needles: DataFrame, short: bool = False) -> Data
     A text that has a needle has all of its runs of three characters. So texts are looked up by the needle's rarest
     run and then read for the needle itself; a needle that has a run that no text has is done with. Needles
     of one or two characters are runs of that length. An empty needle is in every text, so its pairs are all of them.
-    Repeated rows and needles count once; nulls have no pairs. short: texts are words or lines and go along with their runs, so
-    rows are read once; longer ones are read again for the pairs that runs give.
+    Repeated rows and needles count once; nulls have no pairs. short: ids are the texts themselves, words or lines, which go along
+    with their runs, so rows are read once; longer ones are read again for the pairs that runs give.
     """
     wanted = materialize(needles.select("needle").where(F.col("needle").isNotNull()).distinct().withColumn("n", F.least(F.length("needle"), F.lit(RUN))))
     texts = rows.select("id", "low").where(F.col("low").isNotNull()).withColumn("chars", F.split("low", "", -1))
@@ -38,15 +38,15 @@ def containing(rows: DataFrame, needles: DataFrame, short: bool = False) -> Data
             found = texts.select("id", F.lit("").alias("needle"))
         else:
             parts = own.withColumn("chars", F.split("needle", "", -1)).select("needle", F.explode(_runs("chars", n)).alias("run"))
-            posted = texts.select("id", *["low"] * short, F.explode(_runs("chars", n)).alias("run")).join(broadcast_if_small(parts.select("run").distinct()), "run", "left_semi")
+            posted = texts.select("low" if short else "id", F.explode(_runs("chars", n)).alias("run")).join(broadcast_if_small(parts.select("run").distinct()), "run", "left_semi")
             if n < RUN:
-                found = posted.select("id", F.col("run").alias("needle"))
+                found = posted.select(F.col("low" if short else "id").alias("id"), F.col("run").alias("needle"))
             else:
                 posted = materialize(posted)
                 often = posted.groupBy("run").agg(F.count("*").alias("often"))
                 rare = parts.join(often, "run", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "run")).alias("r")).where("r.often > 0")
                 met = posted.join(rare.select("needle", F.col("r.run").alias("run")), "run").drop("run")
-                found = (met if short else met.join(texts.select("id", "low"), "id")).where(F.contains("low", "needle")).select("id", "needle")
+                found = (met.withColumn("id", F.col("low")) if short else met.join(texts.select("id", "low"), "id")).where(F.contains("low", "needle")).select("id", "needle")
         out = found if out is None else out.unionByName(found)
     return (rows.select("id", F.lit(None).cast("string").alias("needle")).limit(0) if out is None else out).distinct()
 
