@@ -3,7 +3,7 @@ from against import same
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrywise.llm import decontaminate, exact_dedup, simhash, toxicity
+from quarrywise.llm import decontaminate, exact_dedup, near_copies, toxicity
 from quarrywise.llm.queries import ORACLE, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -24,7 +24,7 @@ def test_stages_do_what_their_operators_say(spark, tmp_path):
     says = [
         lambda d: toxicity.toxicity(d, labels).where("predicted = 0"),
         lambda d: exact_dedup.exact_dedup(d).where("kept"),
-        lambda d: simhash.simhash_dedup(d).where("doc_id = component_id"),
+        lambda d: near_copies.near_copies(d).where("doc_id = component_id"),
         lambda d: decontaminate.decontaminate(d, bench).where("NOT contaminated"),
     ]
     for k, ((_, stage), said) in enumerate(zip(corpus_pipeline.STAGES, says)):

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 from test_dedup import components_brute, fingerprint_brute
+from test_near_copies import brute_links, least_ids
 from test_text_ops import item_words
 
 import corpus_pipeline
@@ -101,8 +102,7 @@ def test_pipeline_is_plain_python(spark, small, tmp_path):
     for i, t in rows:
         last[t or ""] = max(last.get(t or "", i), i)
     rows = [(i, t) for i, t in rows if last[t or ""] == i]
-    near = near_brute(rows)
-    rows = [(i, t) for i, t in rows if near[i][1] == i]
+    rows = [r for r, least in zip(rows, least_ids(rows, brute_links(rows))) if r[0] == least]
     bad = contaminated_brute(rows, items)
     rows = [(i, t) for i, t in rows if i not in bad]
     packed_well(corpus_pipeline.run(spark, SMALL).collect(), rows)
