@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrywise.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from quarrywise.llm import decontaminate, exact_dedup, near_copies, packing, toxicity
 from quarrywise.llm.common import materialize
 from quarrywise.llm.queries import TOKENIZER
 from quarrywise.sources.tables import spread
@@ -21,8 +21,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints the one with the smallest doc_id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of documents that are linked by four fifths of their five-word shingles, as their SimHash sketches find them, the one with the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
