@@ -235,17 +235,19 @@ def rounded(solution: list[tuple[tuple[int, ...], float]], histogram: dict[int,
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences), which together hold each length as often as the histogram says.
 
-    The program is solved with one PRICING after another until the rounded solution is within GAP of the
-    dual bound; the fewest sequences win, and best fit alone is among what is compared.
+    The program is always solved, with one of PRICINGS after another until the rounded solution is within
+    GAP of the dual bound; the fewest sequences win. Best fit alone is what it is held against: its plan is
+    taken only if every rounded solution has more sequences.
     """
     histogram = {k: n for k, n in histogram.items() if n}
     if not histogram:
         return []
-    least, best = dual_bound(histogram, capacity), best_fit(histogram, capacity)
+    least, plans = dual_bound(histogram, capacity), []
     for long_share, weight_share in PRICINGS:
-        if best.total() <= least * (1 + GAP) + 1:
+        plans.append(rounded(fractional(histogram, capacity, long_share, weight_share), histogram, capacity))
+        if plans[-1].total() <= least * (1 + GAP):
             break
-        best = min(rounded(fractional(histogram, capacity, long_share, weight_share), histogram, capacity), best, key=lambda p: p.total())
+    best = min([*plans, best_fit(histogram, capacity)], key=lambda p: p.total())
     return sorted(best.items())
 
 
