@@ -33,3 +33,18 @@ def test_aliases_and_terms_make_edges(spark):
     books = spark.createDataFrame([(i, f"t{i}", f"a{i}", None, [], a, t) for i, a, t in rows], "book_id long, title string, author string, primary_class string, topics array<string>, routing_aliases array<string>, summary_terms array<string>")
     assert {tuple(r) for r in library.edges(books).collect()} == {(1, 2, 0.3), (3, 4, 0.24)}
     assert {(r.book_id, r.other_id, r.score) for r in library.related(books, books).collect()} == {(1, 2, 0.3), (2, 1, 0.3), (3, 4, 0.24), (4, 3, 0.24)}
+
+
+def test_copies_meet_once_and_lose_no_edge(spark):
+    rows = [(i, ("red bolt", "red ring", "old rod", "x")[i % 4], ("A", "B", "A", None)[i % 4], ("s", "s", "t", None)[i % 4], (["red", "bolt"], ["red", "ring"], ["old", "rod"], [])[i % 4]) for i in range(240)]
+    books = spark.createDataFrame(rows, "book_id long, title string, author string, primary_class string, topics array<string>")
+    want = brute(library.traits(books).collect())
+    sets = library.trait_classes(books, 12)
+    assert sets.count() == 4 and library._met(sets, sets, 0.2, 3).count() <= 16
+    assert {(r.book_id, r.other_id): r.score for r in library.edges(books, block=7).collect()} == want
+    best = sorted((-s, a, b) for (a, b), s in want.items())
+    for n in (1, 11, 3000):
+        assert [(-r.score, r.book_id, r.other_id) for r in library.best_edges(books, n).collect()] == best[:n]
+    got = [(r.book_id, -r.score, r.other_id) for r in library.related(books, books).orderBy("book_id", "rank").collect()]
+    both = {**want, **{(b, a): s for (a, b), s in want.items()}}
+    assert got == [(a, *t) for a in range(240) for t in sorted((-s, b) for (x, b), s in both.items() if x == a)[:10]]
