@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import stripped, text
+from .strings import once, stripped, text
 
 #: Fixed: what may be an ISBN in a text.
 _FORM = r"(?:97[89][\-\s]?)?(?:\d[\-\s]?){9,12}[\dXx]"
@@ -27,7 +27,7 @@ def valid13(x: Column) -> Column:
 def normal_isbn(x: Column) -> Column:
     """Digits of a valid ISBN of either length; else null."""
     bare = F.upper(F.regexp_replace(F.regexp_replace(stripped(text(x)), r"(?i)\AISBN(?:-1[03])?:?\s*", ""), r"[\s-]", ""))
-    return F.when(valid10(bare) | valid13(bare), bare)
+    return once(bare, lambda b: F.when(valid10(b) | valid13(b), b))
 
 
 def isbns(x: Column) -> Column:
