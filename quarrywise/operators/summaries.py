@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import alias, slug, stripped, text
+from ..functions.strings import alias, firsts, slug, stripped, text
 from .chunks import unrolled, with_sections
 from .extract import first_paragraph, keywords
 
@@ -25,9 +25,9 @@ SPECIAL = {"preface": -30, "introduction": -20, "prologue": -10, "conclusion": 1
 _NONE = "array<string>"
 
 
-def first_of_each(values: Column, keys: Column) -> Column:
-    """Values whose key is there for the first time; empty keys leave."""
-    return F.filter(values, lambda v, i: (keys[i] != "") & (F.array_position(keys, keys[i]) == i + 1))
+def first_of_each(values: Column) -> Column:
+    """Values whose alias is there for the first time; those of an empty one leave."""
+    return firsts(F.filter(values, lambda v: alias(v) != ""), alias)
 
 
 def path_parts(path: Column) -> Column:
@@ -39,7 +39,7 @@ def heading_ideas(paths: Column, topics: Column | None, limit: int) -> Column:
     last_two = lambda parts: F.filter(parts, lambda x, i: i >= F.size(parts) - 2)
     bare = F.filter(F.transform(F.flatten(F.transform(paths, lambda p: last_two(path_parts(p)))), lambda p: stripped(F.regexp_replace(p, r"(?i)\Achapter\s+\d+\s*[:.-]?\s*", ""))), lambda p: F.length(p) >= 4)
     every = bare if topics is None else F.concat(topics, bare)
-    return F.slice(first_of_each(every, F.transform(every, alias)), 1, limit)
+    return F.slice(first_of_each(every), 1, limit)
 
 
 def chapter_of(path: Column) -> Column:
@@ -97,7 +97,7 @@ def book_summaries(books: DataFrame) -> DataFrame:
     whole = said.join(listed, "book_id", "left").withColumn("keywords", F.coalesce("keywords", none))
     named = F.transform(F.concat("routing_aliases", "topics", "ideas"), lambda x: stripped(F.translate(x, "_", " ")))
     every = F.concat(named, F.slice("keywords", 1, 10))
-    best = F.slice(first_of_each(every, F.transform(every, alias)), 1, 10)
+    best = F.slice(first_of_each(every), 1, 10)
     return whole.select("book_id", "thesis", "ideas", best.alias("best_for"), "keywords", "n_chapters")
 
 
