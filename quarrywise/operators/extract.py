@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markdown import claim_plain, summary_plain
-from ..functions.strings import clean_quote, contains_any, count_contained, normal, squeezed, stripped, text
+from ..functions.strings import clean_quote, contains_any, count_contained, firsts, normal, squeezed, stripped, text
+from .chunks import unrolled
 
 # Fixed word lists. A term counts wherever its letters occur, also inside words.
 CHALLENGE = ("not", "never", "less useful", "worse", "problem", "fails", "failure", "risk", "danger", "counterproductive", "instead of", "rather than", "myth")
@@ -74,17 +75,15 @@ def claim_tags(sentence: Column, fallback: Column | None = None) -> Column:
 def claims(docs: DataFrame, limit: int = 40) -> DataFrame:
     """docs (book_id, text): the first claims of each in document order; one that recurs, whatever its case, counts once. Within the row, so nothing is shuffled."""
     found = F.filter(sentences(F.col("text")), claims_something)
-    low = F.transform(found, lambda s: F.lower(s))
-    first = F.slice(F.filter(found, lambda s, i: F.array_position(low, F.lower(s)) == i + 1), 1, limit)
-    rows = docs.select("book_id", F.posexplode(first).alias("claim_index", "claim"))
-    return rows.select("book_id", "claim_index", "claim", stance(F.col("claim")).alias("stance"), F.when(stance(F.col("claim")) == "neutral", "low").otherwise("medium").alias("confidence"), claim_tags(F.col("claim")).alias("tags"))
+    rows = unrolled(docs.select("book_id", F.slice(firsts(found, F.lower), 1, limit).alias("claim")), ("book_id",), "claim", "claim_index").withColumn("stance", stance(F.col("claim")))
+    return rows.select("book_id", "claim_index", "claim", "stance", F.when(F.col("stance") == "neutral", "low").otherwise("medium").alias("confidence"), claim_tags(F.col("claim")).alias("tags"))
 
 
 def passages(docs: DataFrame, limit: int = 20) -> DataFrame:
     """docs (book_id, text): the best paragraphs of 25 to 180 words, by terms in them and a colon or semicolon, then by place."""
     paras = F.filter(F.transform(F.split(text(F.col("text")), r"\n\s*\n"), stripped), lambda p: p != "")
     plain = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"(?dm)^#{1,6}\s+", ""), r"\[[^\]]+\]\([^\)]*\)", ""), "[*_`>#]+", "")
-    rows = docs.select("book_id", F.posexplode(F.transform(paras, plain)).alias("place", "plain"))
+    rows = unrolled(docs.select("book_id", F.transform(paras, plain).alias("plain")), ("book_id",), "plain", "place")
     rows = rows.withColumn("n_words", F.regexp_count("plain", F.lit(r"(?U)\b\w+(?:['’\-]\w+)?\b")).cast("long")).where(F.col("n_words").between(25, 180))
     score = count_contained(F.lower("plain"), PASSAGE_TERMS) + F.col("plain").rlike("[:;]").cast("int")
     rows = rows.select("book_id", "place", "n_words", score.alias("score"), clean_quote(F.col("plain")).alias("quote"))
@@ -95,7 +94,7 @@ def passages(docs: DataFrame, limit: int = 20) -> DataFrame:
 def keywords(docs: DataFrame, limit: int = 18) -> DataFrame:
     """docs (book_id, text): the most frequent words of four letters or more, without stop words; ties by letter."""
     found = F.transform(F.regexp_extract_all(F.lower(text(F.col("text"))), F.lit(r"[a-z][a-z\-']{3,}"), F.lit(0)), lambda w: F.btrim(w, F.lit("-' ")))
-    rows = docs.select("book_id", F.explode(found).alias("word")).where((F.length("word") >= 4) & ~F.col("word").isin(*STOP_WORDS))
+    rows = docs.select("book_id", F.explode_outer(found).alias("word")).where((F.length("word") >= 4) & ~F.col("word").isin(*STOP_WORDS))
     counts = rows.groupBy("book_id", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("n"), "word"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= limit)
@@ -116,8 +115,7 @@ def concept_candidates(x: Column, limit: int = 20) -> Column:
         return ~c.isin(*NOT_CONCEPTS) & n.between(2, 8) & (F.length(c) >= 6) & ~c.rlike(r"(?i)\A(chapter|part|figure|table) ") & ~(F.split(c, " ")[0].isin(*SENTENCE_STARTS) & (n > 3))
 
     kept = F.filter(clean, good)
-    keys = F.transform(kept, normal)
-    return F.slice(F.filter(kept, lambda c, i: (keys[i] != "") & (F.array_position(keys, keys[i]) == i + 1)), 1, limit)
+    return F.slice(firsts(F.filter(kept, lambda c: normal(c) != ""), normal), 1, limit)
 
 
 def concept_type(name: Column, context: Column) -> Column:
@@ -130,7 +128,8 @@ def concept_type(name: Column, context: Column) -> Column:
 
 def concepts(chunks: DataFrame, limit: int = 30, per_chunk: int = 10) -> DataFrame:
     """chunks (book_id, chunk_index, chunk_id, text): concepts of each book. The first chunk that has one names and types it; each further one adds 0.05 to its confidence; up to five chunks are its sources."""
-    rows = chunks.select("book_id", "chunk_index", "chunk_id", F.col("text").alias("said"), F.posexplode(concept_candidates(F.col("text"), per_chunk)).alias("place", "name"))
+    rows = chunks.select("book_id", "chunk_index", "chunk_id", F.col("text").alias("said"), concept_candidates(F.col("text"), per_chunk).alias("name"))
+    rows = unrolled(rows, ("book_id", "chunk_index", "chunk_id", "said"), "name", "place")
     rows = rows.withColumn("concept_id", F.replace(normal(F.col("name")), F.lit(" "), F.lit("_"))).withColumn("type", concept_type(F.col("name"), F.col("said")))
     at = F.struct("chunk_index", "place")
     found = rows.groupBy("book_id", "concept_id").agg(
