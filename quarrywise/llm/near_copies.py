@@ -9,6 +9,11 @@ It is done twice. First pairs within SURE bits span a forest inside each task, a
 against the exact similarity; what they connect is one component. Then pairs within BUDGET bits are
 looked for between different components only. So a large group of edits of one text isn't expanded into its pairs,
 and no pair is passed over for another that the exact check then refuses.
+
+Sketches of short texts are coarse, and a text of many edits meets all of a large group that it isn't like. So a
+sketch goes along with the parities of its text's shingles, dealt to FOLDS places: where two sets
+differ in d shingles, at most d parities do, so a pair whose parities differ in more than its similarity allows
+is left where it is found, before it is a row. No pair that is alike enough is lost by that.
 """
 
 from __future__ import annotations
@@ -33,8 +38,11 @@ PIECES, PIECE_ERRORS, SURE, BUDGET = 6, 3, 23, 38
 SUBTREES, CHUNK, DIRECT = 200_000, 200_000, 64
 
 
-#: Columns of a sketch.
+#: Places of the parities of a text's shingles; they tell sets of up to twice as many shingles apart.
+FOLDS = 512
+#: Columns of a sketch, and those of the parities and the number of shingles.
 SKETCH = [f"s{i}" for i in range(PIECES // 2)]
+PARITY = [*(f"f{i}" for i in range(FOLDS // 64)), "size"]
 
 
 def shingles(words: list[bytes], n: int) -> set[bytes]:
@@ -60,22 +68,38 @@ def sketch(words: list[bytes]) -> bytes:
     return np.packbits(2 * ones > len(each)).tobytes()
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the shingles is in each of FOLDS places, as 64-bit words, and how many shingles there are."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % FOLDS, minlength=FOLDS) & 1
+    return np.r_[np.packbits(odd.astype(np.uint8)).view(np.int64), len(hashes)]
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """False for pairs of rows of parities whose sets differ in more shingles than those of a similarity of least can."""
+    m, n = a[:, -1], b[:, -1]
+    apart = np.bitwise_count((a[:, :-1] ^ b[:, :-1]).view(np.uint64)).sum(1, dtype=np.int64)
+    return np.maximum(apart, np.abs(m - n)) <= (m + n) * (1 - least) / (1 + least) + 1e-6
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """A row per input row: doc_id, text_key, node (64 bits that texts of equal sets of shingles share), s0 and on (the sketch, 64 bits each)."""
+    """A row per input row: doc_id, text_key, node (64 bits that texts of equal sets of shingles share), s0 and on (the sketch, 64 bits each), f0 and on (parities), size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, both = [], []
+            nodes, both, odd = [], [], []
             for text in as_bytes(batch.column(2)):
                 words = text.translate(LOWER).split()
-                nodes.append(sum(map(xxhash.xxh3_64_intdigest, shingles(words, shingle))) & (1 << 64) - 1)
+                each = shingles(words, shingle)
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each))
+                nodes.append(hashes.sum(dtype=np.uint64))
                 both.append(sketch(words))
-            parts = np.frombuffer(b"".join(both), ">i8").astype(np.int64).reshape(-1, len(SKETCH))
+                odd.append(parities(hashes))
+            parts = np.c_[np.frombuffer(b"".join(both), ">i8").astype(np.int64).reshape(-1, len(SKETCH)), np.array(odd, np.int64).reshape(-1, len(PARITY))]
             columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), *map(pa.array, np.ascontiguousarray(parts.T))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", *SKETCH])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", *SKETCH, *PARITY])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(docs, text_col).alias("text_key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, " + ", ".join(f"{c} long" for c in SKETCH + PARITY))
 
 
 def layouts(n: int) -> list[tuple[np.ndarray, int]]:
@@ -134,12 +158,12 @@ def _products(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray
         yield i[ok], j[ok]
 
 
-def trie_pairs(values: np.ndarray, starts: np.ndarray, top: int, label: np.ndarray, budget: int, spanning: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(values: np.ndarray, starts: np.ndarray, top: int, label: np.ndarray, budget: int, spanning: bool, parity: np.ndarray | None = None, least: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Joins each subtree with itself. values: n rows of 64-bit words, sorted within the ranges that starts begins, each of which agrees in its top bits.
 
     Node pairs are traversed together and left once they differ in over PIECE_ERRORS of the first 32
     bits or in over budget of all. Gives places of values within both: with spanning, those that connect what
-    wasn't connected yet; else all of different labels.
+    wasn't connected yet; else all of different labels. With parity, rows of parities of the same places, pairs that can't be alike are left out, but for equal sketches of a forest.
     """
     n = len(values)
     ends = np.r_[starts[1:], n]
@@ -171,6 +195,9 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, top: int, label: np.ndarr
             near = (np.bitwise_count(x[:, 0] >> np.uint64(32)) <= PIECE_ERRORS) & (np.bitwise_count(x).sum(1) <= budget)
             near &= label[i] != label[j]
             i, j = i[near], j[near]
+            if parity is not None:
+                near = may_be_alike(parity[i], parity[j], least)
+                i, j = i[near], j[near]
             if spanning:
                 first = forest.join(i, j)
                 i, j = i[first], j[first]
@@ -195,10 +222,11 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, top: int, label: np.ndarr
                 stack.append((depth + 1, *(np.concatenate(x) for x in zip(*group))))
 
 
-def candidates(nodes: DataFrame, n: int, budget: int, spanning: bool) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of nodes (node, label and its sketch) within budget bits. n: about how many nodes there are."""
+def candidates(nodes: DataFrame, n: int, budget: int, spanning: bool, least: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (u, v), u > v, of nodes (node, label, its sketch and parities) within budget bits that may be alike. n: about how many nodes there are."""
     plan = layouts(n)
-    names = ["t", "key", *SKETCH, "node", "label"]
+    own = [*SKETCH, *PARITY, "node", "label"]
+    names, last = ["t", "key", *own], 2 + len(SKETCH)
 
     def top_bits(halves: np.ndarray, t: int) -> np.ndarray:
         order, top = plan[t]
@@ -212,12 +240,12 @@ def candidates(nodes: DataFrame, n: int, budget: int, spanning: bool) -> DataFra
 
     def joined(t: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, top = plan[t]
-        values = laid_out(np.ascontiguousarray(rows[:, 2:-2]).view(np.uint64), order)
+        values = laid_out(np.ascontiguousarray(rows[:, 2:last]).view(np.uint64), order)
         at = np.lexsort(values.T[::-1])
-        values, ids = values[at], rows[at, -2]
+        values, ids, parity = values[at], rows[at, -2], rows[at, last:-2]
         label = np.unique(rows[at, -1], return_inverse=True)[1]
         key = values[:, 0] >> np.uint64(64 - top)
-        for i, j in trie_pairs(values, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), top, label, budget, spanning):
+        for i, j in trie_pairs(values, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), top, label, budget, spanning, parity, least):
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], ["u", "v"])
 
@@ -241,7 +269,7 @@ def candidates(nodes: DataFrame, n: int, budget: int, spanning: bool) -> DataFra
         if n:
             yield from flush(np.concatenate(held))
 
-    rows = nodes.select(*SKETCH, "node", "label").mapInArrow(spread, "t int, " + ", ".join(f"{c} long" for c in names[1:]))
+    rows = nodes.select(*own).mapInArrow(spread, "t int, " + ", ".join(f"{c} long" for c in names[1:]))
     return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(join, "u long, v long").distinct()
 
 
@@ -268,11 +296,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ids that are null take part in no component's smallest id; component_id is null where there is no other.
     """
     rows = materialize(sketches(docs, id_col, text_col, shingle))
-    nodes = materialize(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("text_key", *SKETCH))))
+    nodes = materialize(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("text_key", *SKETCH, *PARITY))))
     n = nodes.count()
 
     def links(labelled: DataFrame, budget: int, spanning: bool) -> DataFrame:
-        return materialize(verified(materialize(candidates(labelled, n, budget, spanning)), nodes, docs, text_col, shingle, least))
+        return materialize(verified(materialize(candidates(labelled, n, budget, spanning, least)), nodes, docs, text_col, shingle, least))
 
     sure = links(nodes.withColumn("label", F.col("node")), SURE, True)
     labelled = nodes.join(components(sure).toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))

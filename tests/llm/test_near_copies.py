@@ -113,3 +113,27 @@ def test_trie_finds_all_pairs_of_its_budget():
         assert least_ids(rows, got) == least_ids(rows, want)
         if budget == SURE:
             assert want == {(int(i), int(j)) for i, j in zip(*np.where(bits <= SURE)) if i < j}
+
+
+def test_texts_of_many_edits_do_not_meet_the_group_that_they_are_not_like(spark, monkeypatch):
+    """The pairs that are sent to the exact check don't grow with the group's size times the number of such texts."""
+    rng = random.Random(4)
+    base = words(rng, 150)
+    rows = [(i, edits(rng, base, 1 + i % 3)) for i in range(200)] + [(i, edits(rng, base, 7 + i % 3)) for i in range(200, 300)]
+    sent, check = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *a: sent.append(pairs.count()) or check(pairs, *a))
+    want = dict(zip((i for i, _ in rows), least_ids(rows, brute_links(rows))))
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, rows)).collect()} == want
+    assert sum(sent) <= 10 * len(rows)
+
+
+def test_parities_pass_all_pairs_that_are_alike():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 146, 3000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for d in {0, n // 18, n // 9, n // 3}:
+            b = np.r_[a[d:], rng.integers(0, 1 << 63, d, dtype=np.uint64)]
+            alike = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            passed = near_copies.may_be_alike(near_copies.parities(a)[None], near_copies.parities(b)[None], 0.8)[0]
+            assert passed or not alike
+            assert n != 146 or d < n // 3 or not passed
