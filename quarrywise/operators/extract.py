@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.markdown import claim_plain, summary_plain
 from ..functions.strings import clean_quote, contains_any, count_contained, firsts, normal, squeezed, stripped, text
 from .chunks import unrolled
+from .counted import stands_alone, top_words, with_said
 
 # Fixed word lists. A term counts wherever its letters occur, also inside words.
 CHALLENGE = ("not", "never", "less useful", "worse", "problem", "fails", "failure", "risk", "danger", "counterproductive", "instead of", "rather than", "myth")
@@ -92,7 +93,21 @@ def passages(docs: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def keywords(docs: DataFrame, limit: int = 18) -> DataFrame:
-    """docs (book_id, text): the most frequent words of four letters or more, without stop words; ties by letter."""
+    """docs (book_id, text): the most frequent words of four letters or more, without stop words; ties by letter. Within the row, where each id has one."""
+    if not stands_alone(docs.select("book_id")):
+        return merged_keywords(docs, limit)
+    rows = with_keywords(docs.select("book_id", F.lower(text(F.col("text"))).alias("low")), "low", limit)
+    return rows.select("book_id", F.posexplode("words").alias("at", "w")).select("book_id", "w.word", "w.n", (F.col("at") + 1).alias("rank"))
+
+
+def with_keywords(rows: DataFrame, low: str, limit: int) -> DataFrame:
+    """rows with a column words in place of low, a text in lower case: array<struct<word, n>>."""
+    stop = frozenset(STOP_WORDS)
+    return with_said(rows, [low], lambda x: top_words(x, stop, limit), "words", "array<struct<word: string, n: bigint>>")
+
+
+def merged_keywords(docs: DataFrame, limit: int) -> DataFrame:
+    """The same where rows of one book_id count together: words are shuffled."""
     found = F.transform(F.regexp_extract_all(F.lower(text(F.col("text"))), F.lit(r"[a-z][a-z\-']{3,}"), F.lit(0)), lambda w: F.btrim(w, F.lit("-' ")))
     rows = docs.select("book_id", F.explode_outer(found).alias("word")).where((F.length("word") >= 4) & ~F.col("word").isin(*STOP_WORDS))
     counts = rows.groupBy("book_id", "word").agg(F.count("*").alias("n"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import alias, firsts, slug, stripped, text
 from .chunks import unrolled, with_sections
-from .extract import first_paragraph, keywords
+from .counted import stands_alone, with_said
+from .extract import first_paragraph, keywords, merged_keywords, with_keywords
 
 #: Fixed: words that are no themes, and the forms of themes of several words.
 THEME_STOP_WORDS = (
@@ -70,17 +74,21 @@ def _listed(words: DataFrame) -> Column:
 
 
 def chapter_summaries(books: DataFrame) -> DataFrame:
-    """books (book_id, text): for each chapter, in order, its summary, ideas, headings, keywords and sizes. Texts stay in the row that holds the book; what is shuffled is words, and what is said of a chapter."""
+    """books (book_id, text): for each chapter, in order, its summary, ideas, headings, keywords and sizes. Texts stay in the row that holds the book, and words are counted there; what is shuffled is what is said of a chapter."""
     rows = _chapters(books)
-    words = keywords(rows.select(F.struct("book_id", "title").alias("book_id"), F.col("combined").alias("text")), 12)
-    listed = words.groupBy(F.col("book_id.book_id").alias("book_id"), F.col("book_id.title").alias("title")).agg(_listed(words).alias("keywords"))
     heads = F.transform(F.filter("paths", lambda p: F.size(path_parts(p)) > 1), lambda p: F.element_at(path_parts(p), -1))
     order = F.row_number().over(Window.partitionBy("book_id").orderBy(chapter_place(F.col("title")), F.lower("title"), "title"))
     said = rows.select(
         "book_id", "title", slug(F.col("title")).alias("chapter_id"), first_paragraph(F.col("combined"), 550).alias("summary"), heading_ideas(F.col("paths"), None, 8).alias("ideas"),
-        F.slice(F.array_distinct(heads), 1, 20).alias("headings"), "n_sections", F.length("combined").cast("long").alias("n_chars"),
+        F.slice(F.array_distinct(heads), 1, 20).alias("headings"), "n_sections", F.length("combined").cast("long").alias("n_chars"), F.lower("combined").alias("low"),
     )
-    return said.join(listed, ["book_id", "title"], "left").select(
+    if stands_alone(books.select("book_id")):
+        whole = with_keywords(said, "low", 12).withColumn("keywords", F.col("words.word"))
+    else:
+        words = merged_keywords(rows.select(F.struct("book_id", "title").alias("book_id"), F.col("combined").alias("text")), 12)
+        listed = words.groupBy(F.col("book_id.book_id").alias("book_id"), F.col("book_id.title").alias("title")).agg(_listed(words).alias("keywords"))
+        whole = said.join(listed, ["book_id", "title"], "left")
+    return whole.select(
         "book_id", order.alias("place"), "chapter_id", "title", "summary", "ideas", "headings", F.coalesce("keywords", F.array().cast(_NONE)).alias("keywords"), "n_sections", "n_chars",
     )
 
@@ -107,25 +115,36 @@ def plain_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[*_~>#{}\[\]()]", " "), r"(?U)\s+", " "))
 
 
+def best_themes(phrases: list[str], words: list[str], asked: list[str], limit: int) -> list[str]:
+    """The themes of one text: see themes."""
+    stop, asked, scored = set(THEME_STOP_WORDS), set(asked), []
+    for p, n in Counter(phrases).items():
+        own = [w for w in p.split(" ") if w not in stop]
+        if len(p) >= 6 and own and not re.search("chapter|summary|unknown", p):
+            scored.append((-round(n * (1.0 + 0.75 * len(asked.intersection(own))), 6), p))
+    scored += [(-round(n * (1.3 if w in asked else 0.3), 6), w) for w, n in Counter(words).items() if w and w not in stop]
+    taken: dict[str, str] = {}
+    for _, p in sorted(scored):
+        if len(taken) == limit:
+            break
+        if " " in p or p in asked or len(taken) < 6:
+            taken.setdefault(p.replace(" ", "_").replace("-", "_"), p)
+    return list(taken.values())
+
+
 def themes(rows: DataFrame, limit: int = 16) -> DataFrame:
-    """rows (id, text, query) as (id, themes): phrases of fixed forms, each occurrence worth 1 and 0.75 for each word of the query in it, and words, worth 0.3, or 1.3 if the query has them; the best first, ties by letter. Once six are found, words must be the query's."""
-    stop = F.array(*[F.lit(w) for w in THEME_STOP_WORDS])
+    """rows (id, text, query) as (id, themes): phrases of fixed forms, each occurrence worth 1 and 0.75 for each word of the query in it, and words, worth 0.3, or 1.3 if the query has them; the best first, ties by letter. Once six are found, words must be the query's.
+
+    Phrases are found by expressions, counted and ranked in the row; only where an id has several rows, or none, they are put together by a shuffle.
+    """
+    stop, none = F.array(*[F.lit(w) for w in THEME_STOP_WORDS]), F.array().cast(_NONE)
     asked = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text(F.col("query"))), F.lit(r"[a-z][a-z0-9\-]{2,}"), F.lit(0))), stop)
     base = rows.select("id", F.lower(plain_text(F.col("text"))).alias("low"), asked.alias("asked"))
-    own = lambda p: F.filter(F.split(p, " "), lambda w: ~F.array_contains(stop, w))
-    phrases = F.concat(*[F.transform(F.regexp_extract_all("low", F.lit(f), F.lit(0)), lambda p: F.btrim(F.regexp_replace(p, r"(?U)\s+", " "), F.lit(" -.,:;"))) for f in THEME_FORMS])
-    good = F.filter(phrases, lambda p: (F.length(p) >= 6) & (F.size(own(p)) > 0) & ~p.rlike("chapter|summary|unknown"))
-    words = F.filter(F.transform(F.regexp_extract_all("low", F.lit(r"[a-z][a-z\-']{3,}"), F.lit(0)), lambda w: F.btrim(w, F.lit("-' "))), lambda w: (w != "") & ~F.array_contains(stop, w))
-    worth = F.concat(
-        F.transform(good, lambda p: F.struct(p.alias("phrase"), (1.0 + 0.75 * F.size(F.array_intersect("asked", own(p)))).alias("w"))),
-        F.transform(words, lambda w: F.struct(w.alias("phrase"), F.when(F.array_contains("asked", w), 1.3).otherwise(0.3).cast("double").alias("w"))),
-    )
-    scored = base.select("id", "asked", F.explode(worth).alias("x")).groupBy("id", "asked", "x.phrase").agg(F.round(F.sum("x.w"), 6).alias("w"))
-    ranked = scored.groupBy("id", "asked").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "phrase"))), lambda x: x["phrase"]).alias("ranked"))
-
-    def take(acc: Column, p: Column) -> Column:
-        done = (F.size(acc) >= limit) | F.array_contains(F.transform(acc, alias), alias(p)) | (alias(p) == "")
-        weak = ~F.contains(p, F.lit(" ")) & ~F.array_contains("asked", p) & (F.size(acc) >= 6)
-        return F.when(done | weak, acc).otherwise(F.concat(acc, F.array(p)))
-
-    return rows.select("id").join(ranked.select("id", F.aggregate("ranked", F.array().cast(_NONE), take).alias("themes")), "id", "left").select("id", F.coalesce("themes", F.array().cast(_NONE)).alias("themes"))
+    phrases = F.concat(*[F.regexp_extract_all("low", F.lit(f), F.lit(0)) for f in THEME_FORMS])
+    found = base.select("id", "asked", phrases.alias("phrases"), F.regexp_extract_all("low", F.lit(r"[a-z][a-z\-']{3,}"), F.lit(0)).alias("words"))
+    alone = stands_alone(rows.select("id"))
+    if not alone:
+        found = found.groupBy("id", "asked").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("phrases", "words")))
+    say = lambda p, w, a: best_themes([x.strip(" -.,:;") for x in p], [x.strip("-' ") for x in w], a, limit)
+    said = with_said(found, ["phrases", "words", "asked"], say, "themes", _NONE)
+    return said if alone else rows.select("id").join(said, "id", "left").select("id", F.coalesce("themes", none).alias("themes"))
