@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import markdown as md
 from ..functions.strings import stripped
+from .counted import small
 
 
 def clean_markdown(df: DataFrame, raw: str, out: str, profile: md.Profile = md.EPUB) -> DataFrame:
@@ -46,7 +47,7 @@ def html_to_markdown(df: DataFrame, raw: str, out: str) -> DataFrame:
         return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ \t]+", "\n", x)).strip()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield b.set_column(at, out, pa.array([tidy(x or "") for x in b.column(at).to_pylist()], pa.string()))
 
     return rows.mapInArrow(run, StructType([*(f for f in rows.schema if f.name != out), StructField(out, StringType())]) if at == len(rows.columns) - 1 else rows.schema)
