@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import excerpt, stripped, text
-from .search import K1, B, broadcast_if_small, n_terms, postings, terms
+from ..functions.strings import excerpt, once, stripped, text
+from .search import K1, B, n_terms, terms
 
 #: Fixed: names under which a summary may have each part, in order.
 THESIS, IDEAS, QUESTIONS = ("core_thesis", "summary", "description"), ("major_ideas", "key_ideas", "themes"), ("best_for_questions_about", "questions", "useful_for")
@@ -40,10 +40,13 @@ def useful_passages(books: DataFrame, chunks: DataFrame, limit: int = 5) -> Data
     A chunk is held against its own book's words alone, so work follows the chunks and not books times chunks.
     """
     asked = books.select("book_id", F.explode(F.array_distinct(terms(looked_up(F.col("topics"), F.col("title"))))).alias("term"))
-    found = postings(chunks, "chunk_id", "text", broadcast_if_small(asked.select("term").distinct()))
     size = chunks.agg(F.count("*").alias("n"), F.avg(n_terms(F.col("text"))).alias("mean")).first()
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    own = found.join(chunks.select(F.col("chunk_id").alias("id"), "book_id"), "id").join(asked, ["book_id", "term"])
+    # A chunk's terms are counted once each where it is; only its book's own are told by chunk.
+    df = chunks.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    wanted = asked.groupBy("book_id").agg(F.collect_list("term").alias("wanted"))
+    each = lambda t: F.transform("wanted", lambda w: F.struct(w.alias("term"), F.size(t).alias("dl"), F.size(F.filter(t, lambda x: x == w)).alias("tf")))
+    told = chunks.select("book_id", F.col("chunk_id").alias("id"), "text").join(wanted, "book_id").select("book_id", "id", F.inline(once(terms(F.col("text")), each)))
+    own = told.where("tf > 0")
     idf = F.log1p((size.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (size.mean or 1.0)))
     hits = own.join(df, "term").groupBy("book_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))

@@ -52,3 +52,32 @@ def test_batches_are_taken_in_pieces():
     batch = pa.RecordBatch.from_pydict({"x": ["a" * 1000] * 100})
     pieces = list(small([batch], 10_000))
     assert len(pieces) > 9 and pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch]))
+
+
+def test_sets_that_are_alike_meet_in_any_order():
+    """Whatever shingles a sample calls common, two sets of which four fifths are shared have one of their first in common."""
+    import numpy as np
+
+    from quarrywise.operators.near import rarest
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        shared, n = rng.integers(-(1 << 40), 1 << 40, rng.integers(1, 60)), rng.integers(0, 15)
+        a, b = np.r_[shared, rng.integers(-(1 << 40), 1 << 40, n)], np.r_[shared, rng.integers(-(1 << 40), 1 << 40, n // 3)]
+        common = np.unique(rng.choice(np.r_[a, b], rng.integers(0, 40)))
+        hot = (common, rng.permutation(len(common)))
+        alike = 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        first_a, first_b = rarest(a.tolist(), hot, 0.8), rarest(b.tolist(), hot, 0.8)
+        assert len(first_a) <= len(a) // 5 + 1 and (not alike or len(np.intersect1d(first_a, first_b)))
+
+
+def test_terms_of_chunks_are_not_shuffled_by_chunk(spark):
+    import re
+
+    from quarrywise.operators import notes
+
+    books = spark.createDataFrame([(1, "Habits", ["money"]), (2, "Parks", ["green", "walks"])], "book_id long, title string, topics array<string>")
+    chunks = spark.createDataFrame([(1, "1_0", "", "", "money habits money"), (1, "1_1", "", "", "green parks"), (2, "2_0", "", "", "green money walks"), (2, "2_1", "", "", None)], "book_id long, chunk_id string, citation string, heading_path string, text string")
+    found = notes.useful_passages(books, chunks)
+    assert [(r.book_id, r["rank"], r.chunk_id) for r in found.orderBy("book_id", "rank").collect()] == [(1, 1, "1_0"), (2, 1, "2_0")]
+    assert not re.search(r"Exchange hashpartitioning\(id#\d+, dl#\d+, term#\d+", found._jdf.queryExecution().executedPlan().toString())
