@@ -43,3 +43,11 @@ def test_claims_are_not_sent_to_the_driver(spark):
     claims = spark.createDataFrame([(f"c{i}", "a plan of money", None, "t", "a", None, None, [], "supports") for i in range(40)], "claim_id string, claim string, citation string, title string, author string, heading_path string, evidence string, tags array<string>, stance string")
     plan = knowledge.claim_search(claims, spark.createDataFrame([(1, "money plan")], "query_id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") >= 4
+
+
+def test_windows_are_stripped_once(spark):
+    """What strips a window, and what measures its lead, are in its expression once."""
+    from quarrywise.operators import chunks
+
+    said = spark.range(1).select(F.lit("a").alias("t")).select(chunks.pieces(F.col("t")).alias("p"))._jdf.queryExecution().logical().toString()
+    assert said.count("regexp_replace") <= 1 and said.count("regexp_extract") <= 1, said
