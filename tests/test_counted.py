@@ -81,3 +81,46 @@ def test_terms_of_chunks_are_not_shuffled_by_chunk(spark):
     found = notes.useful_passages(books, chunks)
     assert [(r.book_id, r["rank"], r.chunk_id) for r in found.orderBy("book_id", "rank").collect()] == [(1, 1, "1_0"), (2, 1, "2_0")]
     assert not re.search(r"Exchange hashpartitioning\(id#\d+, dl#\d+, term#\d+", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_keyword_search_shuffles_no_terms(spark):
+    """Terms are counted where their row is; rows of one id and length still count together, as a search of everything by SQL has it."""
+    import re
+
+    from quarrywise.operators import search
+
+    queries = spark.createDataFrame([(1, "green parks"), (2, "absent"), (3, None)], "query_id int, text string")
+    alone = spark.createDataFrame([(1, "green Green parks"), (2, "habits"), (3, None), (4, "parks")], "id long, text string")
+    found = search.keyword_search(alone, queries, "id", "text")
+    assert [(r.query_id, r.id) for r in found.orderBy("rank").collect()] == [(1, 1), (1, 4)]
+    assert not re.search(r"Exchange hashpartitioning\(id#\d+, dl#\d+, term#\d+|Exchange hashpartitioning\(term#\d+, \d+\).*\n.*(Filter|Project).*id#", found._jdf.queryExecution().executedPlan().toString())
+    twice = alone.unionByName(spark.createDataFrame([(1, "green x parks"), (None, "parks")], "id long, text string"))
+    got = {r.id: r.score for r in search.keyword_search(twice, queries, "id", "text").collect()}
+    old = search.postings(twice, "id", "text", queries.select(F.explode(search.terms(F.col("text"))).alias("term")))
+    assert set(got) == {None, 1, 4} and {(r.id, r.term, r.tf) for r in old.collect()} == {(1, "green", 3), (1, "parks", 2), (4, "parks", 1), (None, "parks", 1)}
+    df, n, mean = {"green": 1, "parks": 3}, 6, 9 / 6
+    from math import log1p
+
+    w = lambda t, tf, dl: log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))
+    mean = (3 + 1 + 0 + 1 + 3 + 1) / n
+    assert abs(got[1] - round(w("green", 3, 3) + w("parks", 2, 3), 6)) < 2e-6
+
+
+def test_vectors_are_scored_some_at_a_time(spark, monkeypatch):
+    import random
+
+    import pytest
+
+    from quarrywise.operators import search
+
+    monkeypatch.setattr(search, "SCORES", 9)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1), None if i == 7 else rng.gauss(0, 1)]) for i in range(30)]
+    df = spark.createDataFrame([*rows, (None, [1.0, 2.0]), (90, None), (91, [])], "id long, vec array<double>")
+    got = sorted((r.query_id, r["rank"], r.id) for r in search.vector_search(df, df.where("id % 3 = 0").withColumnRenamed("id", "query_id"), "id", "vec", 3).collect())
+    dot = lambda a, b: 0.0 if None in a or None in b else round(a[0] * b[0] + a[1] * b[1], 6)
+    want = [(q, k + 1, i) for q, a in rows[::3] for k, (_, i) in enumerate(sorted((-dot(a, b), i) for i, b in rows)[:3])]
+    assert got == want
+    with pytest.raises(Exception, match="several lengths|must match"):
+        search.vector_search(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, vec array<double>").coalesce(1), df.limit(1).withColumnRenamed("id", "query_id"), "id", "vec").collect()
