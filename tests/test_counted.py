@@ -1,5 +1,6 @@
 """Words are counted in the row that holds their text; rows of one id still count together."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrywise.operators import extract, summaries
@@ -124,3 +125,18 @@ def test_vectors_are_scored_some_at_a_time(spark, monkeypatch):
     assert got == want
     with pytest.raises(Exception, match="several lengths|must match"):
         search.vector_search(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, vec array<double>").coalesce(1), df.limit(1).withColumnRenamed("id", "query_id"), "id", "vec").collect()
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_words_of_passages_are_not_shuffled(spark, monkeypatch, most):
+    """Words meet the terms of queries where their text is, unless these are too many; what is found is the same."""
+    from quarrywise.operators import knowledge
+
+    plans, write = [], knowledge.materialize
+    monkeypatch.setattr(knowledge, "WORDS", most)
+    monkeypatch.setattr(knowledge, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    rows = spark.createDataFrame([(1, "Green parks are greener"), (2, "evergreen"), (3, None), (4, "parks")], "id long, text string")
+    queries = spark.createDataFrame([(1, "green parks"), (2, "par"), (3, "of"), (4, None)], "query_id int, text string")
+    found = knowledge.term_hits(rows, queries)
+    assert sorted((r.query_id, r.id, r.score) for r in found.where("query_id < 3").collect()) == [(1, 1, 5), (1, 2, 1), (1, 4, 1), (2, 1, 4), (2, 4, 4)]
+    assert ("Exchange hashpartitioning(word#" in plans[-1]) == (most == 0)
