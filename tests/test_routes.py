@@ -26,6 +26,12 @@ def test_rows_that_share_an_id_add_up_as_in_sql(spark, tmp_path):
     same(spark, catalog.QUERIES["query_intents"], catalog.ORACLE["query_intents"], str(tmp_path))
 
 
+def test_scores_tie_only_where_those_of_the_sql_do(spark, tmp_path):
+    """finance has 1.2 as an alias and 5.4 as a domain, in doubles more than the 6.6 of business."""
+    duckdb.sql(f"COPY (SELECT k AS p_partkey, 'old gear management growth' AS p_name FROM range(16) t(k)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    same(spark, catalog.QUERIES["query_intents"], catalog.ORACLE["query_intents"], str(tmp_path))
+
+
 def met_brute(q, terms):
     norm = lambda x: re.sub(r"\s+", " ", (x or "").lower().replace("_", "-"), flags=re.ASCII).strip(" ")
     q, out = norm(q), []
