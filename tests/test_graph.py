@@ -1,7 +1,9 @@
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from quarrywise import catalog
-from quarrywise.operators import library
+from quarrywise.operators import exports, library
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -48,3 +50,18 @@ def test_copies_meet_once_and_lose_no_edge(spark):
     got = [(r.book_id, -r.score, r.other_id) for r in library.related(books, books).orderBy("book_id", "rank").collect()]
     both = {**want, **{(b, a): s for (a, b), s in want.items()}}
     assert got == [(a, *t) for a in range(240) for t in sorted((-s, b) for (x, b), s in both.items() if x == a)[:10]]
+
+
+def test_ids_of_edges_are_shown_once_for_a_pair_of_sets(spark):
+    """What shows an id stands below the rows of pairs, not in them, and says what the edge writers say."""
+    say = [exports.graphml_edges().alias("graphml"), exports.mermaid_edges().alias("mermaid"), exports.cytoscape_edges().alias("cytoscape")]
+    names = ("a<&1", '"q"', "9 b", "-", "5", "é'", "x\\y", "-7")
+    for whole, ids in ((False, list(names)), (True, [-7, 0, 5, 12, 9007199254740993, 3, 4, 8])):
+        rows = [(i, ("t", "u")[j % 2], "A", "s", ["red"]) for j, i in enumerate(ids)]
+        books = spark.createDataFrame(rows, f"book_id {'long' if whole else 'string'}, title string, author string, primary_class string, topics array<string>")
+        want = {tuple(r) for r in library.edges(books).select("book_id", "other_id", *say).collect()}
+        got = library.edges(books, shown=lambda i: exports.shown_id(i, whole)).select("book_id", "other_id", *exports.edge_records()).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) == 28
+    plan = catalog.graph_records(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Generate")]
+    assert "to_json" not in top and "regexp" not in top and "RLIKE" not in top and "cast(" not in top, top
