@@ -1,7 +1,5 @@
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from quarrywise import catalog
 from quarrywise.operators import exports, library
 
